@@ -6,10 +6,14 @@ n - ceil(t*n) + 1 tokens) under *every* global order, so candidates must share o
 first order puts rare tokens first (by a table of hashed counts over the whole corpus, fixed in size); the others are
 hash orders. The first finds the candidates by an equi-join on tokens; the others are intersected before verification.
 
-A token that many sets hold makes no pairs of all its holders. Rounds of stars do most of the work: a token's hub, the
+Each document carries its prefix under the first order and a longer one, twice that, under the second. Tokens of at most
+``SMALL`` holders make all their pairs; the pairs that the sizes allow must share under the second order, besides one
+token, as many as two sets so similar cannot fail to share; the few that do are compared whole, after the third order.
+
+A token that more sets hold makes no pairs of all of them. Rounds of stars do most of the work: the token's hub, the
 holder of least hash, is compared with each other holder, and links found become components. Holders already in one
-component need no more links. What remains are pairs from different components, which are all compared at the end, so
-that no link between components is lost.
+component need no more links. What remains are pairs from different components, which are all compared at the end, by
+ranges of size, so that no link between components is lost.
 
 Defined cases: null and wordless texts have no shingles, link with nothing and are components of their own; with fewer
 words than a shingle, the whole sequence is the one shingle; rows repeated under one id are one document only if their
@@ -31,8 +35,9 @@ from . import common as C
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 COUNT_SLOTS = 1 << 16
-#: Rounds of stars at most, and the cross-component pairs for each active document below which the rest is compared.
-STARS, FEW = 4, 3
+#: Holders of a token up to which all its pairs are made; rounds of stars at most, and the pairs for each row of the
+#: larger tokens below which what remains is compared at once.
+SMALL, STARS, FEW = 16, 3, 4
 
 
 def shingle_sets(words: C.Words, k: int) -> Iterator[np.ndarray]:
@@ -76,20 +81,39 @@ def _describe(k: int):
     return scan
 
 
+def sketch_of(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """The first 2p hashes (32 bits) under the second order, in order; p is the prefix length."""
+    h = np.sort(C.mixed(tokens, 1))[: 2 * prefix_length(len(tokens), percent)]
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+def may_link(nx: int, x: np.ndarray, ny: int, y: np.ndarray, percent: int) -> bool:
+    """Whether two sketches share what sets of the asked similarity can't fail to share.
+
+    Of sets that link, ``least`` tokens are common, so that x lacks at most nx - least of its first m in y, and a common
+    one among them is among the first m + ny - least of y."""
+    least = -(-percent * (nx + ny) // (100 + percent))
+    dx, dy = nx - least, ny - least
+    if dx < 0 or dy < 0:
+        return False
+    m = min(len(x), len(y) - dy) if len(y) < ny else len(x)
+    return m <= dx or int(np.isin(x[:m], y).sum()) >= m - dx
+
+
 def _prefixes(k: int, percent: int, counts: np.ndarray):
-    """Each document's prefix under the first order: tokens of small counts first, then by hash."""
+    """Each document's prefix under the first order, tokens of small counts first, then by hash; and its sketch."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in C.slices(batch.column(1)):
-                out = []
+                out, sketches = [], []
                 for s in shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k):
                     p = prefix_length(len(s), percent) if len(s) else 0
                     heavy = counts[(s >> np.uint64(48)).astype(np.int64)]
                     out.append(s[np.argsort(heavy, kind="stable")[:p]])
-                sizes = [len(x) for x in out]
-                flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), C.lists(C.signed(flat), sizes, pa.int64())], names=["doc_id", "tokens"])
+                    sketches.append(sketch_of(s, percent) if len(s) else np.zeros(0, np.uint32))
+                lists = [C.lists(C.signed(np.concatenate(out)), [len(x) for x in out], pa.int64()), C.lists(np.concatenate(sketches).view(np.int32), [len(x) for x in sketches], pa.int32())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", "tokens", "sketch"])
 
     return scan
 
@@ -107,8 +131,17 @@ def _sets(k: int, bits: np.ndarray):
     return scan
 
 
+def _sift(percent: int):
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = zip(f["nu"].tolist(), f["x"], f["nv"].tolist(), f["y"], strict=True)
+            yield f.loc[[may_link(nu, np.asarray(x), nv, np.asarray(y), percent) for nu, x, nv, y in rows], ["u", "v"]]
+
+    return scan
+
+
 def _verify(percent: int):
-    """Pairs that share prefix tokens under the hash orders, too, and then are similar enough."""
+    """Pairs that share a prefix token under the remaining orders, too, and then are similar enough."""
 
     def prefix(s: np.ndarray, order: int) -> np.ndarray:
         h = C.mixed(s, order)
@@ -120,7 +153,7 @@ def _verify(percent: int):
             ok = []
             for x, y in zip(f["x"], f["y"], strict=True):
                 x, y = np.ascontiguousarray(x, np.int64).view(np.uint64), np.ascontiguousarray(y, np.int64).view(np.uint64)
-                ok.append(all(len(np.intersect1d(prefix(x, o), prefix(y, o))) for o in range(1, ORDERS)) and linked(x, y, percent))
+                ok.append(all(len(np.intersect1d(prefix(x, o), prefix(y, o))) for o in range(2, ORDERS)) and linked(x, y, percent))
             yield f.loc[ok, ["u", "v"]]
 
     return scan
@@ -148,46 +181,58 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     slots = told.where("counts is not null").select(F.posexplode("counts").alias("slot", "c")).where("c > 0").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
-    # An id whose rows have different sets stands for several nodes of one id: such rows are joined by their id alone.
-    prefixes = docs.where("doc_id is not null and text is not null").mapInArrow(_prefixes(shingle, percent, counts), "doc_id long, tokens array<long>")
-    held = prefixes.join(reps.select(F.col("node").alias("doc_id"), "n"), "doc_id").select(F.explode("tokens").alias("token"), F.col("doc_id").alias("node"), "n")
-    held = C.materialize(held)
-    common = held.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
-    posts = C.materialize(held.join(common, "token").distinct())
-    active = posts.select("node").distinct()
-    bits = C.id_filter(F.col("node"), active)
-    sets = docs.where("doc_id is not null and text is not null").select("doc_id", "text", C.slot_of(F.col("doc_id")).alias("slot")).mapInArrow(_sets(shingle, bits), "node long, tokens array<long>")
-    sets = C.materialize(sets.join(active, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")))
-    n_active = sets.count()
-    if not n_active:
-        return None
+    texts = docs.where("doc_id is not null and text is not null")
+    table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, tokens array<long>, sketch array<int>").where("size(tokens) > 0")
+    # Rows of one id with unlike sets: one of them stands for the id.
+    table = table.join(reps.groupBy("node").agg(F.max("n").alias("n")), "node")
+    table = C.materialize(table)
+    held = table.select(F.explode("tokens").alias("token"), "node", "n")
+    common = held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m")
+    posts = C.materialize(held.join(common, "token"))
+    sketches = table.select("node", "sketch")
+    fits = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)").select("u", "v").distinct()
-        both = pairs.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
-        return both.mapInPandas(_verify(percent), "u long, v long")
-
-    links, group, left = None, None, posts.withColumn("comp", F.col("node"))
+        """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
+        both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
+        near = C.materialize(both.mapInPandas(_sift(percent), "u long, v long").distinct())
+        nodes = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
+        bits = C.id_filter(F.col("node"), nodes)
+        sets = texts.select("doc_id", "text", C.slot_of(F.col("doc_id")).alias("slot")).mapInArrow(_sets(shingle, bits), "node long, tokens array<long>")
+        sets = C.materialize(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")))
+        both = near.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
+        return C.materialize(both.mapInPandas(_verify(percent), "u long, v long"))
+
+    def apart(left: DataFrame) -> DataFrame:
+        """Pairs of holders of one token in different components, by ranges of size within which sizes can fit."""
+        step = F.floor(F.log("n") / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
+        sized = left.withColumn("range", step)
+        a = sized.select("token", F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
+        b = sized.select("token", "range", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
+        return a.join(b, ["token", "range"]).where(f"u < v and cu <> cv and {fits}").select("u", "nu", "v", "nv").distinct()
+
+    small = posts.where(f"m <= {SMALL}").withColumn("comp", F.col("node"))
+    left = posts.where(f"m > {SMALL}").withColumn("comp", F.col("node"))
+    pairs = apart(small)
+    links = None
     for turn in range(STARS):
         first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("comp").alias("comp"))
         hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.comp").alias("cv"))
-        found = C.materialize(verified(left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv")))
+        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv").where(fits).distinct()
+        found = verified(stars if links is not None else pairs.unionByName(stars).distinct())
         links = found if links is None else links.unionByName(found)
         group = C.components(links)
-        now = posts.join(group, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
+        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
         # Tokens whose holders are in more than one component, and how many pairs of them are still apart.
-        mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+        mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token")
         left = C.materialize(now.join(mixed, "token"))
-        by = left.groupBy("token", "comp").count().groupBy("token").agg((F.sum("count") * F.sum("count") - F.sum(F.col("count") * F.col("count"))).alias("p"))
-        apart = by.agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0] / 2
-        if not apart:
+        by = left.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
+        rows, rest = by.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
+        if not rest:
             return links
-        if apart <= FEW * n_active:
+        if rest <= FEW * rows:
             break
-    a = left.select("token", F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-    b = left.select("token", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    rest = a.join(b, "token").where("u < v and cu <> cv").select("u", "nu", "v", "nv")
-    return C.materialize(links.unionByName(verified(rest)))
+    return links.unionByName(verified(apart(left)))
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
