@@ -7,8 +7,10 @@ first order puts rare tokens first (by a table of hashed counts over the whole c
 hash orders. The first finds the candidates by an equi-join on tokens; the others are intersected before verification.
 
 Each document carries its prefix under the first order and a longer one, twice that, under the second. Tokens of at most
-``SMALL`` holders make all their pairs; the pairs that the sizes allow must share under the second order, besides one
-token, as many as two sets so similar cannot fail to share; the few that do are compared whole, after the third order.
+``SMALL`` holders make all their pairs. A pair is made of a token only where its places in both sets leave room for enough common ones after
+it: the first common token of two similar sets does, whatever other tokens they share. What the places allow must share
+under the second order, too, as many as two sets so similar cannot fail to share; the few that do are compared whole,
+after the third order.
 
 A token that more sets hold makes no pairs of all of them. Rounds of stars do most of the work: the token's hub, the
 holder of least hash, is compared with each other holder, and links found become components. Holders already in one
@@ -186,11 +188,12 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     # Rows of one id with unlike sets: one of them stands for the id.
     table = table.join(reps.groupBy("node").agg(F.max("n").alias("n")), "node")
     table = C.materialize(table)
-    held = table.select(F.explode("tokens").alias("token"), "node", "n")
+    held = table.select(F.posexplode("tokens").alias("place", "token"), "node", "n")
     common = held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m")
     posts = C.materialize(held.join(common, "token"))
     sketches = table.select("node", "sketch")
-    fits = f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)"
+    # Common tokens from this one on, at most, against those that the similarity asks for (sizes that fit included).
+    fits = f"{100 + percent} * least(nu - iu, nv - iv) >= {percent} * (nu + nv)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
@@ -207,8 +210,8 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         """Pairs of holders of one token in different components, by ranges of size within which sizes can fit."""
         step = F.floor(F.log("n") / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
         sized = left.withColumn("range", step)
-        a = sized.select("token", F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-        b = sized.select("token", "range", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
+        a = sized.select("token", F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), F.col("comp").alias("cu"))
+        b = sized.select("token", "range", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("place").alias("iv"), F.col("comp").alias("cv"))
         return a.join(b, ["token", "range"]).where(f"u < v and cu <> cv and {fits}").select("u", "nu", "v", "nv").distinct()
 
     small = posts.where(f"m <= {SMALL}").withColumn("comp", F.col("node"))
@@ -216,13 +219,13 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     pairs = apart(small)
     links = None
     for turn in range(STARS):
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("comp").alias("comp"))
-        hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.comp").alias("cv"))
-        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), "v", "nv").where(fits).distinct()
+        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("comp").alias("comp"))
+        hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.place").alias("iv"), F.col("hub.comp").alias("cv"))
+        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), "v", "nv", "iv").where(fits).select("u", "nu", "v", "nv").distinct()
         found = verified(stars if links is not None else pairs.unionByName(stars).distinct())
         links = found if links is None else links.unionByName(found)
         group = C.components(links)
-        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("comp"))
+        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("comp"))
         # Tokens whose holders are in more than one component, and how many pairs of them are still apart.
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token")
         left = C.materialize(now.join(mixed, "token"))
