@@ -147,8 +147,8 @@ class Words:
         return b" ".join([bytes(raw[s:e]) for s, e in zip(start.tolist(), end.tolist(), strict=True)])
 
 
-def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from row, to row, bytes, offsets from 0) for runs of about CHUNK_BYTES of a string column."""
+def slices(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(from row, to row, bytes, offsets from 0) for runs of about ``size`` bytes of a string column."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_binary()) if column.type != pa.large_binary() else column
     if column.null_count:
@@ -161,7 +161,7 @@ def slices(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + size, "right")) - 1)
         b = min(b, n)
         yield a, b, raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b

@@ -8,7 +8,8 @@ hash orders. The first finds the candidates by an equi-join on tokens; the other
 
 Each document carries its prefix under the first order and a longer one, twice that, under the second. Tokens of at most
 ``SMALL`` holders make all their pairs. A pair is made of a token only where its places in both sets leave room for enough common ones after
-it: the first common token of two similar sets does, whatever other tokens they share. What the places allow must share
+it: the first common token of two similar sets does, whatever other tokens they share; and where the bitmaps of both sets
+differ in no more places than the sets may differ in tokens. What these allow must share
 under the second order, too, as many as two sets so similar cannot fail to share; the few that do are compared whole,
 after the third order.
 
@@ -40,6 +41,8 @@ COUNT_SLOTS = 1 << 16
 #: Holders of a token up to which all its pairs are made; rounds of stars at most, and the pairs for each row of the
 #: larger tokens below which what remains is compared at once.
 SMALL, STARS, FEW = 16, 3, 4
+#: Bytes of text taken at once, and 64-bit words of a set's bitmap.
+CHUNK_BYTES, MAP_WORDS = 1 << 18, 2
 
 
 def shingle_sets(words: C.Words, k: int) -> Iterator[np.ndarray]:
@@ -69,7 +72,7 @@ def _describe(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNT_SLOTS, np.int64)
         for batch in batches:
-            for a, b, buf, off in C.slices(batch.column(1)):
+            for a, b, buf, off in C.slices(batch.column(1), CHUNK_BYTES):
                 sizes, prints = [], []
                 for s in shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k):
                     sizes.append(len(s))
@@ -89,6 +92,14 @@ def sketch_of(tokens: np.ndarray, percent: int) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def bitmap_of(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens in each of 64 * MAP_WORDS slots; a token that only one of two sets has changes one
+    bit, so that two bitmaps differ in no more bits than the sets in tokens."""
+    size = 64 * MAP_WORDS
+    slot = (C.mixed(tokens, ORDERS) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=size) & 1).astype(np.uint8)).view(np.int64)
+
+
 def may_link(nx: int, x: np.ndarray, ny: int, y: np.ndarray, percent: int) -> bool:
     """Whether two sketches share what sets of the asked similarity can't fail to share.
 
@@ -103,19 +114,20 @@ def may_link(nx: int, x: np.ndarray, ny: int, y: np.ndarray, percent: int) -> bo
 
 
 def _prefixes(k: int, percent: int, counts: np.ndarray):
-    """Each document's prefix under the first order, tokens of small counts first, then by hash; and its sketch."""
+    """Each document's prefix under the first order, tokens of small counts first, then by hash; sketch and bitmap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, buf, off in C.slices(batch.column(1)):
-                out, sketches = [], []
+            for a, b, buf, off in C.slices(batch.column(1), CHUNK_BYTES):
+                out, sketches, maps = [], [], []
                 for s in shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k):
                     p = prefix_length(len(s), percent) if len(s) else 0
                     heavy = counts[(s >> np.uint64(48)).astype(np.int64)]
                     out.append(s[np.argsort(heavy, kind="stable")[:p]])
                     sketches.append(sketch_of(s, percent) if len(s) else np.zeros(0, np.uint32))
-                lists = [C.lists(C.signed(np.concatenate(out)), [len(x) for x in out], pa.int64()), C.lists(np.concatenate(sketches).view(np.int32), [len(x) for x in sketches], pa.int32())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", "tokens", "sketch"])
+                    maps.append(bitmap_of(s))
+                lists = [C.lists(C.signed(np.concatenate(out)), [len(x) for x in out], pa.int64()), C.lists(np.concatenate(sketches).view(np.int32), [len(x) for x in sketches], pa.int32()), C.lists(np.concatenate(maps), [MAP_WORDS] * len(maps), pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", "tokens", "sketch", "map"])
 
     return scan
 
@@ -125,7 +137,7 @@ def _sets(k: int, bits: np.ndarray):
         for batch in batches:
             keep = pa.array(C.passes(bits, batch.column(2).to_numpy()), pa.bool_())
             batch = batch.filter(keep)
-            for a, b, buf, off in C.slices(batch.column(1)):
+            for a, b, buf, off in C.slices(batch.column(1), CHUNK_BYTES):
                 out = list(shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k))
                 flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), C.lists(C.signed(flat), [len(x) for x in out], pa.int64())], names=["node", "tokens"])
@@ -184,16 +196,17 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
     texts = docs.where("doc_id is not null and text is not null")
-    table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, tokens array<long>, sketch array<int>").where("size(tokens) > 0")
+    table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, tokens array<long>, sketch array<int>, map array<long>").where("size(tokens) > 0")
     # Rows of one id with unlike sets: one of them stands for the id.
     table = table.join(reps.groupBy("node").agg(F.max("n").alias("n")), "node")
     table = C.materialize(table)
-    held = table.select(F.posexplode("tokens").alias("place", "token"), "node", "n")
+    held = table.select(F.posexplode("tokens").alias("place", "token"), "node")
     common = held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m")
-    posts = C.materialize(held.join(common, "token"))
+    posts = C.materialize(held.join(common, "token").join(table.select("node", "n", "map"), "node"))
     sketches = table.select("node", "sketch")
     # Common tokens from this one on, at most, against those that the similarity asks for (sizes that fit included).
-    fits = f"{100 + percent} * least(nu - iu, nv - iv) >= {percent} * (nu + nv)"
+    differ = " + ".join(f"bit_count(mu[{k}] ^ mv[{k}])" for k in range(MAP_WORDS))
+    fits = f"{100 + percent} * least(nu - iu, nv - iv) >= {percent} * (nu + nv) and {100 + percent} * (nu + nv - ({differ})) >= {2 * percent} * (nu + nv)"
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
@@ -206,26 +219,32 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         both = near.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
         return C.materialize(both.mapInPandas(_verify(percent), "u long, v long"))
 
-    def apart(left: DataFrame) -> DataFrame:
-        """Pairs of holders of one token in different components, by ranges of size within which sizes can fit."""
+    def side(rows: DataFrame, x: str, *keys) -> DataFrame:
+        return rows.select("token", *keys, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"i{x}"), F.col("map").alias(f"m{x}"), F.col("comp").alias(f"c{x}"))
+
+    def apart(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        """Pairs of holders of one token in different components."""
+        return a.join(b, on).where(f"u < v and cu <> cv and {fits}").select("u", "nu", "v", "nv").distinct()
+
+    def ranged(left: DataFrame) -> DataFrame:
+        """The same, by ranges of size within which sizes can fit."""
         step = F.floor(F.log("n") / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
         sized = left.withColumn("range", step)
-        a = sized.select("token", F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range"), F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), F.col("comp").alias("cu"))
-        b = sized.select("token", "range", F.col("node").alias("v"), F.col("n").alias("nv"), F.col("place").alias("iv"), F.col("comp").alias("cv"))
-        return a.join(b, ["token", "range"]).where(f"u < v and cu <> cv and {fits}").select("u", "nu", "v", "nv").distinct()
+        near = F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range")
+        return apart(side(sized, "u", near), side(sized, "v", "range"), ["token", "range"])
 
     small = posts.where(f"m <= {SMALL}").withColumn("comp", F.col("node"))
     left = posts.where(f"m > {SMALL}").withColumn("comp", F.col("node"))
-    pairs = apart(small)
+    pairs = apart(side(small, "u"), side(small, "v"), ["token"])
     links = None
     for turn in range(STARS):
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("comp").alias("comp"))
-        hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.place").alias("iv"), F.col("hub.comp").alias("cv"))
-        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), "v", "nv", "iv").where(fits).select("u", "nu", "v", "nv").distinct()
+        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("map").alias("map"), F.col("comp").alias("comp"))
+        hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.place").alias("iv"), F.col("hub.map").alias("mv"), F.col("hub.comp").alias("cv"))
+        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), F.col("map").alias("mu"), "v", "nv", "iv", "mv").where(fits).select("u", "nu", "v", "nv").distinct()
         found = verified(stars if links is not None else pairs.unionByName(stars).distinct())
         links = found if links is None else links.unionByName(found)
         group = C.components(links)
-        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("comp"))
+        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", "place", "map", F.coalesce("component", "node").alias("comp"))
         # Tokens whose holders are in more than one component, and how many pairs of them are still apart.
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token")
         left = C.materialize(now.join(mixed, "token"))
@@ -235,7 +254,7 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
             return links
         if rest <= FEW * rows:
             break
-    return links.unionByName(verified(apart(left)))
+    return links.unionByName(verified(ranged(left)))
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

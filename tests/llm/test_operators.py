@@ -81,6 +81,8 @@ def test_sketches_lose_no_link():
         y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.97], rng.integers(0, 2**63, int(rng.integers(0, 8)), dtype=np.uint64)]))
         if len(y) and jaccard.linked(x, y, 90):
             assert jaccard.may_link(len(x), jaccard.sketch_of(x, 90), len(y), jaccard.sketch_of(y, 90), 90)
+        differ = sum(bin(int(a) & (2**64 - 1)).count("1") for a in jaccard.bitmap_of(x) ^ jaccard.bitmap_of(y))
+        assert differ <= len(np.setxor1d(x, y))
 
 
 def test_substrings(spark):
