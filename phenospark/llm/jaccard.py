@@ -13,10 +13,11 @@ differ in no more places than the sets may differ in tokens. What these allow mu
 under the second order, too, as many as two sets so similar cannot fail to share; the few that do are compared whole,
 after the third order.
 
-A token that more sets hold makes no pairs of all of them. Rounds of stars do most of the work: the token's hub, the
-holder of least hash, is compared with each other holder, and links found become components. Holders already in one
-component need no more links. What remains are pairs from different components, which are all compared at the end, by
-ranges of size, so that no link between components is lost.
+A token that more sets hold makes no pairs of all of them. Rounds do most of the work, and links found become components:
+the first compares the token's hub, the holder of least hash, with each other holder; the next deal the holders of each
+token out by chance to cells of about ``CELL`` and compare those that meet in one, which soon joins a group whose members
+are alike but not all like one hub. Holders already in one component need no more links. What remains are pairs from
+different components, which are all compared at the end, by ranges of size, so that no link between components is lost.
 
 Defined cases: null and wordless texts have no shingles, link with nothing and are components of their own; with fewer
 words than a shingle, the whole sequence is the one shingle; rows repeated under one id are one document only if their
@@ -38,9 +39,9 @@ from . import common as C
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 COUNT_SLOTS = 1 << 16
-#: Holders of a token up to which all its pairs are made; rounds of stars at most, and the pairs for each row of the
-#: larger tokens below which what remains is compared at once.
-SMALL, STARS, FEW = 16, 3, 4
+#: Holders of a token up to which all its pairs are made; mean size of the cells; rounds at most, and the pairs for each
+#: row of the larger tokens below which what remains is compared at once.
+SMALL, CELL, ROUNDS, FEW = 16, 8, 3, 4
 #: Bytes of text taken at once, and 64-bit words of a set's bitmap.
 CHUNK_BYTES, MAP_WORDS = 1 << 18, 2
 
@@ -237,14 +238,19 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     left = posts.where(f"m > {SMALL}").withColumn("comp", F.col("node"))
     pairs = apart(side(small, "u"), side(small, "v"), ["token"])
     links = None
-    for turn in range(STARS):
-        first = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("map").alias("map"), F.col("comp").alias("comp"))
-        hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.place").alias("iv"), F.col("hub.map").alias("mv"), F.col("hub.comp").alias("cv"))
-        stars = left.join(hubs, "token").where("comp <> cv").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), F.col("map").alias("mu"), "v", "nv", "iv", "mv").where(fits).select("u", "nu", "v", "nv").distinct()
-        found = verified(stars if links is not None else pairs.unionByName(stars).distinct())
+    for turn in range(ROUNDS):
+        if turn:
+            cell = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.col("m") / CELL)).alias("cell")
+            pairs = apart(side(left, "u", cell), side(left, "v", cell), ["token", "cell"])
+        else:
+            first = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("map").alias("map"))
+            hubs = left.groupBy("token").agg(F.min(first).alias("hub")).select("token", F.col("hub.node").alias("v"), F.col("hub.n").alias("nv"), F.col("hub.place").alias("iv"), F.col("hub.map").alias("mv"))
+            stars = left.join(hubs, "token").select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("place").alias("iu"), F.col("map").alias("mu"), "v", "nv", "iv", "mv").where(f"u <> v and {fits}").select("u", "nu", "v", "nv")
+            pairs = pairs.unionByName(stars).distinct()
+        found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         group = C.components(links)
-        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "node", "n", "place", "map", F.coalesce("component", "node").alias("comp"))
+        now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "m", "node", "n", "place", "map", F.coalesce("component", "node").alias("comp"))
         # Tokens whose holders are in more than one component, and how many pairs of them are still apart.
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token")
         left = C.materialize(now.join(mixed, "token"))
