@@ -15,7 +15,7 @@ after the third order.
 
 A token that more sets hold makes no pairs of all of them. Rounds do most of the work, and links found become components:
 the first compares the token's hub, the holder of least hash, with each other holder; the next deal the holders of each
-token out by chance to cells of about ``CELL`` and compare those that meet in one, which soon joins a group whose members
+token out by chance to cells of about ``CELL`` (four times as many each round) and compare those that meet in one, which soon joins a group whose members
 are alike but not all like one hub. Holders already in one component need no more links. What remains are pairs from
 different components, which are all compared at the end, by ranges of size, so that no link between components is lost.
 
@@ -39,7 +39,7 @@ from . import common as C
 
 SHINGLE, PERCENT, ORDERS = 5, 80, 3
 COUNT_SLOTS = 1 << 16
-#: Holders of a token up to which all its pairs are made; mean size of the cells; rounds at most, and the pairs for each
+#: Holders of a token up to which all its pairs are made; mean size of the first cells; rounds at most, and the pairs for each
 #: row of the larger tokens below which what remains is compared at once.
 SMALL, CELL, ROUNDS, FEW = 16, 8, 3, 4
 #: Bytes of text taken at once, and 64-bit words of a set's bitmap.
@@ -240,7 +240,7 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     links = None
     for turn in range(ROUNDS):
         if turn:
-            cell = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.col("m") / CELL)).alias("cell")
+            cell = F.pmod(F.xxhash64("node", "token", F.lit(turn)), F.ceil(F.col("m") / (CELL * 4 ** (turn - 1)))).alias("cell")
             pairs = apart(side(left, "u", cell), side(left, "v", cell), ["token", "cell"])
         else:
             first = F.struct(F.xxhash64("node").alias("h"), "node", F.col("n").alias("n"), F.col("place").alias("place"), F.col("map").alias("map"))
