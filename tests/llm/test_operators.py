@@ -174,6 +174,22 @@ def test_pages(spark):
     assert pages.extract(rows.limit(0)).count() == 0
 
 
+def test_pages_copies(spark):
+    plain = "<div>Site name</div><p>{}</p><div>All rights</div>"
+    one, two = plain.format("first " * 20), plain.format("second " * 20)
+    part = plain.format("first " * 20 + f"<p>{'more ' * 90}")
+    rows = [("http://a.x/1", one), ("http://a.x/1?page=2", one), ("http://a.x/1#top", one + "<div>3</div>"), ("http://a.x/2", two)]
+    rows += [("http://b.x/1", one)] * 9 + [("http://c.x/1", one), ("http://c.x/1", part), ("http://c.x/2", two)]
+    rows += [("http://d.x/1", one)] * 40 + [("http://d.x/2", two)]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in pages.digest(pages.extract(table)).collect()}
+    first, second = ("first " * 20).strip(), ("second " * 20).strip()
+    assert [got[i] for i in range(4)] == [first, first, first + " 3", second]
+    assert [got[i] for i in range(4, 13)] == [f"Site name {first} All rights"] * 9
+    assert [got[i] for i in (13, 15)] == [first, second] and got[14] == ("more " * 90).strip()
+    assert [got[i] for i in range(16, 57)] == [first] * 40 + [second]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((300, 16))
