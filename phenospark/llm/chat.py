@@ -6,6 +6,10 @@ Turns are written with ``<|im_start|>role`` and ``<|im_end|>``. Control strings
 backslash is put after the ``<`` of every ``<``, backslashes, ``|``. The loss mask is spans of code points, those of
 assistant texts.
 
+Tables of turns are grouped to structs, whose field paths are fingerprinted from their type: no JSON is written or parsed, so
+no limit of the parser applies to them. JSON records that try_parse_json can't read, those with a string of more than
+20,000,000 characters among them, get no turns and a null fingerprint.
+
 Defined cases: null texts and roles are empty; rows of one conversation sort by turn, then role, then text; repeated
 rows are turns each. A conversation is one row of the result, so that its turns meet in one task by definition; texts of
 different conversations never do.
@@ -13,10 +17,12 @@ different conversations never do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 START, END = "<|im_start|>", "<|im_end|>"
 _TURN = "array<struct<role:string,text:string>>"
@@ -61,13 +67,22 @@ def field_paths(value: Column) -> Column:
     return s
 
 
+def type_paths(kind: DataType) -> str:
+    """The same paths of a column's type."""
+    if isinstance(kind, StructType):
+        return "{" + ",".join(f.name + (f":{inner}" if (inner := type_paths(f.dataType)) else "") for f in sorted(kind.fields, key=lambda f: f.name)) + "}"
+    return f"[{type_paths(kind.elementType)}]" if isinstance(kind, ArrayType) else ""
+
+
 def fingerprint(value: Column) -> Column:
     return F.xxhash64(field_paths(value))
 
 
-def _turns(value: Column, m: Mapping) -> Column:
+def _turns(get: Callable[[str, str], Column], m: Mapping) -> Column:
+    """The turns of a record; get gives the value at a path as a type."""
+
     def text(path: str) -> Column:
-        parts = [F.coalesce(F.try_variant_get(value, f"$.{p}", "string"), F.lit("")) for p in path.split("+")]
+        parts = [F.coalesce(get(p, "string"), F.lit("")) for p in path.split("+")]
         return parts[0] if len(parts) == 1 else F.array_join(F.filter(F.array(*parts), lambda x: x != ""), "\n")
 
     def turn(role: Column, said: Column) -> Column:
@@ -77,7 +92,7 @@ def _turns(value: Column, m: Mapping) -> Column:
     if not m.items:
         return lead
     path, role, said = m.items
-    items = F.try_variant_get(value, f"$.{path}", f"array<struct<{role}:string,{said}:string>>")
+    items = get(path, f"array<struct<{role}:string,{said}:string>>")
     names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     known = F.transform(items, lambda x: turn(F.coalesce(F.try_element_at(names, F.coalesce(x[role], F.lit(""))), x[role], F.lit("")), F.coalesce(x[said], F.lit(""))))
     return F.concat(lead, known) if m.lead else known
@@ -87,13 +102,30 @@ def canonical(records: DataFrame, json_col: str, mappings: tuple[Mapping, ...] =
     """The records with fingerprint (long) and turns (null where no mapping has it)."""
     value = F.try_parse_json(F.col(f"`{json_col}`"))
     out = records.withColumn("__value", value).withColumn("fingerprint", fingerprint(F.col("__value")))
+
+    def get(path: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("__value"), f"$.{path}", kind)
+
     turns = None
     for m in mappings:
         hit = F.col("fingerprint") == F.xxhash64(F.lit(m.paths))
-        turns = F.when(hit, _turns(F.col("__value"), m)) if turns is None else turns.when(hit, _turns(F.col("__value"), m))
+        turns = F.when(hit, _turns(get, m)) if turns is None else turns.when(hit, _turns(get, m))
     return out.withColumn("turns", turns.cast(_TURN)).drop("__value")
 
 
+def canonical_struct(records: DataFrame, struct_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
+    """The same for a struct column, whose type has one layout for all records."""
+    paths = type_paths(records.schema[struct_col].dataType)
+    found = next((m for m in mappings if m.paths == paths), None)
+
+    def get(path: str, kind: str) -> Column:
+        value = F.col(f"`{struct_col}`.`{path}`")
+        return value.cast(kind) if kind == "string" else value  # a cast of structs goes by place, not by name
+
+    turns = _turns(get, found) if found else F.lit(None)
+    return records.withColumn("fingerprint", F.xxhash64(F.lit(paths))).withColumn("turns", turns.cast(_TURN))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
 
@@ -146,19 +178,19 @@ def masked(formatted: Column, mask: Column) -> Column:
 
 
 def from_rows(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """conv_id and record: each conversation's rows as one JSON record of messages."""
+    """conv_id and record: each conversation's rows as one struct of messages."""
     rows = conversations.select(
         F.col(f"`{id_col}`").cast("long").alias("conv_id"),
         F.struct(F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("content")).alias("m"),
     )
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("ms"))
-    messages = F.transform("ms", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    messages = F.transform("ms", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    return grouped.select("conv_id", F.struct(messages.alias("messages")).alias("record"))
 
 
 def format_rows(conversations: DataFrame, **named: str) -> DataFrame:
     """conv_id, fingerprint, turns, formatted, loss_mask of every conversation of a table of turns."""
-    return render(canonical(from_rows(conversations, **named), "record")).drop("record")
+    return render(canonical_struct(from_rows(conversations, **named), "record")).drop("record")
 
 
 def digest(done: DataFrame) -> DataFrame:

@@ -221,3 +221,15 @@ def test_chat(spark):
     records = ['{"instruction":"do","input":"this","output":"ok"}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"prompt":"p","completion":"c"}', '{"x":1}', "no json"]
     got = chat.canonical(spark.createDataFrame([(r,) for r in records], "r string"), "r").collect()
     assert [[tuple(t) for t in r.turns] if r.turns else None for r in got] == [[("user", "do\nthis"), ("assistant", "ok")], [("user", "q"), ("assistant", "a")], [("user", "p"), ("assistant", "c")], None, None]
+
+
+def test_chat_long_texts(spark):
+    rows = spark.range(4).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "human").otherwise("assistant").alias("role"), F.expr("repeat('ab', if(id = 1, 10500000, 1))").alias("text"))
+    many = spark.range(20000).select(F.lit(2).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.lit("x").alias("text"))
+    done = chat.format_rows(rows.unionByName(many))
+    got = {r.conv_id: r for r in chat.digest(done).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns, got[2].loss_chars) == (4, 21_000_002, 20000, 20000)
+    said = "".join(f"{role}\n{text}\n" for role, text in [("user", "ab"), ("assistant", "ab" * 10_500_000), ("user", "ab"), ("assistant", "ab")])
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    record = spark.createDataFrame([('{"messages":[{"role":"human","content":"q"}]}',)], "r string")
+    assert {r.fingerprint for r in done.select("fingerprint").collect()} == {chat.canonical(record, "r").first().fingerprint}
