@@ -125,6 +125,22 @@ def test_secrets(spark):
     assert secrets.entropy_spans("123e4567-e89b-12d3-a456-426614174000") == []
 
 
+@pytest.mark.parametrize("letters", ["0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"])
+def test_secret_recall(letters):
+    rng = random.Random(8)
+    for size, least in ((20, 0.9), (32, 0.98), (64, 0.99)):
+        keys = ["".join(rng.choices(letters, k=size)) for _ in range(1000)]
+        assert sum(any(k == "entropy" for k, _, _ in secrets.scan_text(f"a {x} b")) for x in keys) >= least * 1000
+
+
+def test_clean_words_are_no_secrets():
+    clean = "internationalization2024 user1234567890account thequickbrownfox2jumps20overlazy version20240115build00017 CHAPTER12SECTION4PARAGRAPH7 the-quick-brown-fox-2024 com/example/project2/module/Main HTTPServer2RequestHandlerFactory"
+    assert secrets.scan_text(clean) == []
+    path = "repository/packages/internal/keys/x8k2q9z7w1m4v6b3n5c0r"
+    (_, start, end), = secrets.scan_text(path)
+    assert start <= path.index("x8k2") and end == len(path)
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     texts = [words(rng, 20) + (" idiot loser " if i % 4 == 0 else " ") for i in range(200)]
