@@ -264,10 +264,22 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row (all columns) of each component: the one whose id names it. Rows without an id or words all stay."""
+    """One row (all columns) of each component: the one whose id names it. Rows without an id or words all stay.
+
+    Of rows under one id with the same words in order, one stays; rows of one id with other words are taken as documents each."""
     found = components(documents, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    key = F.col(f"`{id_col}`").cast("long")
+    many = C.materialize(documents.groupBy(key.alias("__many")).count().where("__many is not null and count > 1").select("__many"))
+    if many.isEmpty():
+        return documents.join(gone, key == F.col("__gone"), "left_anti")
+    kept = documents.join(C.materialize(gone), key == F.col("__gone"), "left_anti")
+    said = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    lower = F.translate(said, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    again = kept.join(many, key == F.col("__many"), "left_semi").withColumn("__id", key)
+    again = again.withColumn("__words", F.regexp_replace(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "), "^ | $", ""))
+    one = again.where("__words <> ''").dropDuplicates(["__id", "__words"]).unionByName(again.where("__words = ''"))
+    return kept.join(many, key == F.col("__many"), "left_anti").unionByName(one.select(*[F.col(f"`{c}`") for c in documents.columns]))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -73,6 +73,17 @@ def test_jaccard(spark, k, percent):
         assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"] and kept.count() == len({v[1] for v in got.values()})
 
 
+def test_keep_one_of_repeated_rows(spark):
+    rng = random.Random(9)
+    texts = [words(rng, 40, 500) for _ in range(6)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[0]])]
+    odd = [(3, " " + texts[3].upper() + "\n", "en", "s", 1), (4, words(rng, 40, 500), "en", "s", 1), (7, "", "en", "s", 0), (7, "", "en", "s", 0), (None, texts[1], "en", "s", 1)]
+    kept = jaccard.keep_one(spark.createDataFrame([*rows, *rows, *odd], DOCS), shingle=5, percent=80)
+    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = sorted(str(r.doc_id) for r in kept.collect())
+    assert got == ["0", "1", "2", "3", "4", "4", "5", "7", "7", "None"]
+
+
 def test_sketches_lose_no_link():
     rng = np.random.default_rng(1)
     for _ in range(300):
