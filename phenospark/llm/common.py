@@ -12,27 +12,51 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at once; a longer text is taken alone.
 CHUNK_BYTES = 1 << 20
-#: Bits of the id filter (4 MB, whatever the input).
-FILTER_BITS = 1 << 25
+#: Bits of an id filter: sixteen for each id, from the first to the second of these (128 KB to 16 MB).
+FILTER_BITS = (1 << 20, 1 << 27)
+#: Shuffle files of a write go when it ends, since its readers read the table.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset and all runs in this
+    process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
         found = f"file://{tempfile.mkdtemp(prefix='phenospark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors. drop() deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phenospark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    if before is not None:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that nothing reads any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
@@ -57,6 +81,7 @@ _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = int(_RNG.integers(1, 2**62)) * 8 + 5
 _RINV = pow(_R, -1, 2**64)
+_OTHER = np.random.Generator(np.random.PCG64(8142057)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -122,6 +147,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
+        self.other: np.ndarray | None = None
         self.hash = _range_hash(_BYTE[buf], self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
 
     def grams(self, k: int) -> np.ndarray:
@@ -132,6 +158,15 @@ class Words:
         at = np.arange(n - k + 1)
         return _range_hash(self.hash, at, at + k)
 
+    def check(self, at: np.ndarray, k: int) -> np.ndarray:
+        """A second hash of the k words from each of these words on, from other values of their bytes: where the first one
+        agrees by chance this one does not."""
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        if self.other is None:
+            self.other = _range_hash(_OTHER[self.buf], self.start, self.end)
+        return _range_hash(self.other, at, at + k)
+
     def whole(self, i: int) -> np.uint64:
         """Hash of all words of text i."""
         a, b = self.first[i], self.first[i + 1]
@@ -182,27 +217,42 @@ def lists(values: np.ndarray, lengths: list[int] | np.ndarray, kind: pa.DataType
 
 
 def id_filter(ids: Column, df: DataFrame) -> np.ndarray:
-    """A Bloom filter of one hash over ids (long): FILTER_BITS bits, however many ids there are.
+    """A Bloom filter of one hash over ids (long), sized by their number up to a bound.
 
     It only spares moving rows; callers join with the exact ids after it."""
-    slot = F.pmod(F.xxhash64(ids), F.lit(FILTER_BITS))
-    words = df.select(F.shiftright(slot, 5).cast("int").alias("w"), F.expr("1").alias("_"), slot.alias("s"))
+    n = df.count()
+    size = min(max(FILTER_BITS[0], 1 << (16 * n).bit_length()), FILTER_BITS[1])
+    slot = F.pmod(F.xxhash64(ids), F.lit(size))
+    words = df.select(F.shiftright(slot, 5).cast("int").alias("w"), slot.alias("s"))
     words = words.groupBy("w").agg(F.expr("bit_or(shiftleft(1L, cast(s % 32 as int)))").alias("b"))
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
+    out = np.zeros(size // 32, np.uint32)
     got = words.toPandas()
     out[got.w.to_numpy()] = got.b.to_numpy().astype(np.uint32)
     return out
 
 
-def slot_of(ids: Column) -> Column:
+def slot_of(ids: Column, bits: np.ndarray) -> Column:
     """The bit of id_filter() to test, for passes()."""
-    return F.pmod(F.xxhash64(ids), F.lit(FILTER_BITS)).cast("int")
+    return F.pmod(F.xxhash64(ids), F.lit(32 * len(bits))).cast("int")
 
 
 def passes(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
 
 
+def only(df: DataFrame, id_col: str, bits: np.ndarray) -> DataFrame:
+    """The rows of df whose id may be among those of the filter."""
+    names = df.columns
+    numbered = df.withColumn("__slot", slot_of(F.col(id_col), bits))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = pa.array(passes(bits, batch.column(len(names)).to_numpy(zero_copy_only=False)), pa.bool_())
+            yield batch.filter(keep).select(list(range(len(names))))
+
+    return numbered.mapInArrow(scan, df.schema)
+
+
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, component): component is the smallest id reachable over edges (u, v).
 
@@ -217,11 +267,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
-        e = materialize(small.select("p.*").where("u <> v").distinct())
+        past, e = e, materialize(small.select("p.*").where("u <> v").distinct())
+        drop(past)
         now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("count(distinct u)")).first()
         if now == seen or now[0] == now[2] and not e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count():
             break
         seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    out = e.toDF("node", "component")
+    out.kept_at = e.kept_at
+    return out

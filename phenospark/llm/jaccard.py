@@ -6,12 +6,13 @@ n - ceil(t*n) + 1 tokens) under *every* global order, so candidates must share o
 first order puts rare tokens first (by a table of hashed counts over the whole corpus, fixed in size); the others are
 hash orders. The first finds the candidates by an equi-join on tokens; the others are intersected before verification.
 
-Each document carries its prefix under the first order and a longer one, twice that, under the second. Tokens of at most
-``SMALL`` holders make all their pairs. A pair is made of a token only where its places in both sets leave room for enough common ones after
-it: the first common token of two similar sets does, whatever other tokens they share; and where the bitmaps of both sets
-differ in no more places than the sets may differ in tokens. What these allow must share
-under the second order, too, as many as two sets so similar cannot fail to share; the few that do are compared whole,
-after the third order.
+Each document carries its prefix under the first order, a longer one, twice that, under the second, and one of short
+hashes under the third. Tokens of at most ``SMALL`` holders make all their pairs. A pair is made of a token only where its
+places in both sets leave room for enough common ones after it: the first common token of two similar sets does, whatever
+other tokens they share; and where the bitmaps of both sets differ in no more places than the sets may differ in tokens.
+What these allow must share under the second order, too, as many as two sets so similar cannot fail to share, and a token
+under the third; only then are whole sets fetched and compared. Sets and sketches are fetched for the documents of
+candidate pairs alone, by an id filter before the shuffle, and each round's tables are deleted once they are read.
 
 A token that more sets hold makes no pairs of all of them. Rounds do most of the work, and links found become components:
 the first compares the token's hub, the holder of least hash, with each other holder; the next deal the holders of each
@@ -20,8 +21,9 @@ are alike but not all like one hub. Holders already in one component need no mor
 different components, which are all compared at the end, by ranges of size, so that no link between components is lost.
 
 Defined cases: null and wordless texts have no shingles, link with nothing and are components of their own; with fewer
-words than a shingle, the whole sequence is the one shingle; rows repeated under one id are one document only if their
-sets are equal, and share its component.
+words than a shingle, the whole sequence is the one shingle; rows repeated under one id with equal sets are one document;
+of unlike sets under one id that of least fingerprint takes part, another stands alone unless it equals a set that takes
+part. Very long texts are taken alone; tables without rows give none; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,6 +69,11 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def print_of(tokens: np.ndarray) -> str:
+    """Fingerprint of a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).hexdigest()
+
+
 def _describe(k: int):
     """Each document's set size and fingerprint; each task's table of hashed counts of the tokens it saw."""
 
@@ -77,7 +84,7 @@ def _describe(k: int):
                 sizes, prints = [], []
                 for s in shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k):
                     sizes.append(len(s))
-                    prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                    prints.append(print_of(s))
                     counts += np.bincount((s >> np.uint64(48)).astype(np.int64), minlength=COUNT_SLOTS) if len(s) > 4096 else 0
                     if len(s) <= 4096:
                         np.add.at(counts, (s >> np.uint64(48)).astype(np.int64), 1)
@@ -93,6 +100,13 @@ def sketch_of(tokens: np.ndarray, percent: int) -> np.ndarray:
     return (h >> np.uint64(32)).astype(np.uint32)
 
 
+def third_of(tokens: np.ndarray, percent: int) -> bytes:
+    """The first p hashes (16 bits) under the third order, as bytes."""
+    h = C.mixed(tokens, 2)
+    p = prefix_length(len(tokens), percent)
+    return (np.partition(h, p - 1)[:p] >> np.uint64(48)).astype("<u2").tobytes()
+
+
 def bitmap_of(tokens: np.ndarray) -> np.ndarray:
     """Parity of the number of tokens in each of 64 * MAP_WORDS slots; a token that only one of two sets has changes one
     bit, so that two bitmaps differ in no more bits than the sets in tokens."""
@@ -120,55 +134,52 @@ def _prefixes(k: int, percent: int, counts: np.ndarray):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, off in C.slices(batch.column(1), CHUNK_BYTES):
-                out, sketches, maps = [], [], []
+                out, sketches, thirds, maps, prints = [], [], [], [], []
                 for s in shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k):
                     p = prefix_length(len(s), percent) if len(s) else 0
                     heavy = counts[(s >> np.uint64(48)).astype(np.int64)]
                     out.append(s[np.argsort(heavy, kind="stable")[:p]])
                     sketches.append(sketch_of(s, percent) if len(s) else np.zeros(0, np.uint32))
+                    thirds.append(third_of(s, percent) if len(s) else b"")
                     maps.append(bitmap_of(s))
+                    prints.append(print_of(s))
                 lists = [C.lists(C.signed(np.concatenate(out)), [len(x) for x in out], pa.int64()), C.lists(np.concatenate(sketches).view(np.int32), [len(x) for x in sketches], pa.int32()), C.lists(np.concatenate(maps), [MAP_WORDS] * len(maps), pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists], names=["node", "tokens", "sketch", "map"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(prints, pa.string()), *lists, pa.array(thirds, pa.binary())], names=["node", "print", "tokens", "sketch", "map", "third"])
 
     return scan
 
 
-def _sets(k: int, bits: np.ndarray):
+def _sets(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(C.passes(bits, batch.column(2).to_numpy()), pa.bool_())
-            batch = batch.filter(keep)
             for a, b, buf, off in C.slices(batch.column(1), CHUNK_BYTES):
                 out = list(shingle_sets(C.Words(buf, off, C.NOT_SPACE, lower=True), k))
                 flat = np.concatenate(out) if out else np.zeros(0, np.uint64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), C.lists(C.signed(flat), [len(x) for x in out], pa.int64())], names=["node", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([print_of(x) for x in out], pa.string()), C.lists(C.signed(flat), [len(x) for x in out], pa.int64())], names=["node", "print", "tokens"])
 
     return scan
 
 
 def _sift(percent: int):
+    """Pairs that share enough under the second order and a token under the third."""
+
+    def share(x: bytes, y: bytes) -> bool:
+        return bool(len(np.intersect1d(np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2"))))
+
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = zip(f["nu"].tolist(), f["x"], f["nv"].tolist(), f["y"], strict=True)
-            yield f.loc[[may_link(nu, np.asarray(x), nv, np.asarray(y), percent) for nu, x, nv, y in rows], ["u", "v"]]
+            rows = zip(f["nu"].tolist(), f["x"], f["tx"], f["nv"].tolist(), f["y"], f["ty"], strict=True)
+            yield f.loc[[may_link(nu, np.asarray(x), nv, np.asarray(y), percent) and share(tx, ty) for nu, x, tx, nv, y, ty in rows], ["u", "v"]]
 
     return scan
 
 
 def _verify(percent: int):
-    """Pairs that share a prefix token under the remaining orders, too, and then are similar enough."""
-
-    def prefix(s: np.ndarray, order: int) -> np.ndarray:
-        h = C.mixed(s, order)
-        p = prefix_length(len(s), percent)
-        return np.partition(h, p - 1)[:p]
+    """Pairs that are similar enough, by their whole sets."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ok = []
-            for x, y in zip(f["x"], f["y"], strict=True):
-                x, y = np.ascontiguousarray(x, np.int64).view(np.uint64), np.ascontiguousarray(y, np.int64).view(np.uint64)
-                ok.append(all(len(np.intersect1d(prefix(x, o), prefix(y, o))) for o in range(2, ORDERS)) and linked(x, y, percent))
+            ok = [linked(np.ascontiguousarray(x, np.int64).view(np.uint64), np.ascontiguousarray(y, np.int64).view(np.uint64), percent) for x, y in zip(f["x"], f["y"], strict=True)]
             yield f.loc[ok, ["u", "v"]]
 
     return scan
@@ -179,46 +190,48 @@ def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     told = C.materialize(docs.mapInArrow(_describe(shingle), "doc_id long, n long, print string, counts array<long>"))
     rows = told.where("print is not null").select("doc_id", "n", "print")
-    # Classes of equal sets; the representative is the smallest id.
-    reps = C.materialize(rows.where("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("node"), F.max("n").alias("n")))
+    # Classes of equal sets; the representative is the smallest id. Of unlike sets under one id that of least print stands.
+    own = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("print", "n")).alias("s"))
+    reps = C.materialize(own.groupBy(F.col("s.print").alias("print")).agg(F.min("doc_id").alias("node"), F.max("s.n").alias("n")))
     links = _links(docs, told, reps, shingle, percent)
     rep = reps.select("print", "node")
-    out = rows.join(rep, "print", "left")
-    if links is not None:
-        out = out.join(C.components(links), "node", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = rows.join(rep, "print", "left").join(C.components(links), "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame | None:
+def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Links between representatives, enough for their components."""
     slots = told.where("counts is not null").select(F.posexplode("counts").alias("slot", "c")).where("c > 0").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
     texts = docs.where("doc_id is not null and text is not null")
-    table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, tokens array<long>, sketch array<int>, map array<long>").where("size(tokens) > 0")
-    # Rows of one id with unlike sets: one of them stands for the id.
-    table = table.join(reps.groupBy("node").agg(F.max("n").alias("n")), "node")
-    table = C.materialize(table)
+    table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, print string, tokens array<long>, sketch array<int>, map array<long>, third binary").where("size(tokens) > 0")
+    table = C.materialize(table.join(reps, ["node", "print"]).drop("print"))
     held = table.select(F.posexplode("tokens").alias("place", "token"), "node")
     common = held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m")
     posts = C.materialize(held.join(common, "token").join(table.select("node", "n", "map"), "node"))
-    sketches = table.select("node", "sketch")
+    sketches = C.materialize(table.select("node", "sketch", "third"))
+    C.drop(table)
     # Common tokens from this one on, at most, against those that the similarity asks for (sizes that fit included).
     differ = " + ".join(f"bit_count(mu[{k}] ^ mv[{k}])" for k in range(MAP_WORDS))
     fits = f"{100 + percent} * least(nu - iu, nv - iv) >= {percent} * (nu + nv) and {100 + percent} * (nu + nv - ({differ})) >= {2 * percent} * (nu + nv)"
 
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
-        both = pairs.join(sketches.select(F.col("node").alias("u"), F.col("sketch").alias("x")), "u").join(sketches.select(F.col("node").alias("v"), F.col("sketch").alias("y")), "v")
+        pairs = C.materialize(pairs)
+        some = C.only(sketches, "node", C.id_filter(F.col("node"), ends(pairs)))
+        both = pairs.join(some.toDF("u", "x", "tx"), "u").join(some.toDF("v", "y", "ty"), "v")
         near = C.materialize(both.mapInPandas(_sift(percent), "u long, v long").distinct())
-        nodes = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
-        bits = C.id_filter(F.col("node"), nodes)
-        sets = texts.select("doc_id", "text", C.slot_of(F.col("doc_id")).alias("slot")).mapInArrow(_sets(shingle, bits), "node long, tokens array<long>")
-        sets = C.materialize(sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("tokens").alias("tokens")))
-        both = near.join(sets.select(F.col("node").alias("u"), F.col("tokens").alias("x")), "u").join(sets.select(F.col("node").alias("v"), F.col("tokens").alias("y")), "v")
-        return C.materialize(both.mapInPandas(_verify(percent), "u long, v long"))
+        nodes = ends(near)
+        sets = C.only(texts.select(F.col("doc_id").alias("node"), "text"), "node", C.id_filter(F.col("node"), nodes)).mapInArrow(_sets(shingle), "node long, print string, tokens array<long>")
+        sets = C.materialize(sets.join(reps.join(nodes, "node", "left_semi").select("node", "print"), ["node", "print"]).groupBy("node").agg(F.first("tokens").alias("tokens")))
+        both = near.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+        found = C.materialize(both.mapInPandas(_verify(percent), "u long, v long"))
+        C.drop(pairs, near, sets)
+        return found
 
     def side(rows: DataFrame, x: str, *keys) -> DataFrame:
         return rows.select("token", *keys, F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"i{x}"), F.col("map").alias(f"m{x}"), F.col("comp").alias(f"c{x}"))
@@ -250,10 +263,12 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         found = verified(pairs)
         links = found if links is None else links.unionByName(found)
         group = C.components(links)
+        past = left if turn else None
         now = posts.where(f"m > {SMALL}").join(group, "node", "left").select("token", "m", "node", "n", "place", "map", F.coalesce("component", "node").alias("comp"))
         # Tokens whose holders are in more than one component, and how many pairs of them are still apart.
         mixed = now.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("token")
         left = C.materialize(now.join(mixed, "token"))
+        C.drop(group, *([past] if turn else []))
         by = left.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
         rows, rest = by.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
         if not rest:
