@@ -62,7 +62,13 @@ def display_confidence(p: Column) -> Column:
 
 
 def state_confidence(call: Column, p: Column) -> Column:
-    return F.when(call == "likely_to_work", 1 - p).otherwise(p)
+    """Confidence in the reported state, to three digits; not clamped, which only shown percents are."""
+    return F.round(F.when(call == "likely_to_work", 1 - p).otherwise(p), 3)
+
+
+def sort_key(call: Column) -> Column:
+    """Order of report rows: what works, what fails, what has no call."""
+    return F.when(call == "likely_to_work", 0).when(call == "likely_to_fail", 1).otherwise(2)
 
 
 def certainty_label(percent: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
+from ..functions.constants import BRIDGE, INTRINSIC_COLUMNS
 
 
 def presence(hits: DataFrame) -> DataFrame:
@@ -46,6 +47,44 @@ def first_rule(symbol: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+def annotate(hits: DataFrame, order: str) -> DataFrame:
+    """feature, gene_symbol, evidence_type, amr_class, amr_subclass of each feature: those of its last hit in ``order``.
+
+    ``hits`` has genome_id, symbol, type, subtype, class, subclass."""
+    amr = hits.where((F.upper(F.coalesce("type", F.lit(""))) == "AMR") & (F.trim("symbol") != ""))
+    evidence = names.evidence_class(F.trim("subtype"))
+    told = amr.select(F.trim("symbol").alias("feature"), F.struct(F.col(order).alias("o"), evidence.alias("evidence"), F.trim(F.coalesce("class", F.lit(""))).alias("class"), F.trim(F.coalesce("subclass", F.lit(""))).alias("subclass")).alias("m"))
+    last = told.groupBy("feature").agg(F.max_by("m", F.col("m.o")).alias("m"))
+    return last.select("feature", names.gene_symbol(F.col("feature"), F.col("m.evidence")).alias("gene_symbol"), F.col("m.evidence").alias("evidence_type"), F.col("m.class").alias("amr_class"), F.col("m.subclass").alias("amr_subclass"))
+
+
+def token_classes(rows: DataFrame, order: str) -> DataFrame:
+    """feature, amr_class: the first class that is not blank, in ``order``, empty where all are.
+
+    ``rows`` has token and class."""
+    named = F.when(F.trim(F.coalesce("class", F.lit(""))) != "", F.trim("class"))
+    return rows.where("token is not null").groupBy(F.col("token").alias("feature")).agg(F.coalesce(F.min_by(named, F.when(named.isNotNull(), F.col(order))), F.lit("")).alias("amr_class"))
+
+
+def bridge(hits: DataFrame, vocabulary: DataFrame, genomes: DataFrame | None = None, rules: list[tuple[str, str]] = BRIDGE, intrinsic: list[str] = INTRINSIC_COLUMNS) -> DataFrame:
+    """(genome_id, feature) of symbols brought to a model's vocabulary: of the rules whose target is in it the first that
+    matches the symbol's base, else the feature of that very name in any case; others have no feature. Every genome also
+    has the intrinsic features that the vocabulary holds.
+
+    ``hits`` has genome_id and symbol; rules (a fixed table) and the vocabulary are small, symbols are matched once each."""
+    numbered = hits.sparkSession.createDataFrame([(k, p, t) for k, (p, t) in enumerate(rules)], "rule int, pattern string, target string")
+    known = numbered.join(vocabulary.select(F.col("feature").alias("target")).distinct(), "target", "left_semi")
+    symbols = hits.select("symbol").distinct().withColumn("base", F.lower(F.trim(F.substring_index("symbol", "_", 1))))
+    ruled = symbols.join(F.broadcast(known), F.expr("base rlike pattern"), "left").groupBy("symbol", "base").agg(F.min_by("target", "rule").alias("target"))
+    lower = vocabulary.groupBy(F.lower("feature").alias("base")).agg(F.max("feature").alias("own"))
+    placed = ruled.join(lower, "base", "left").select("symbol", F.coalesce("target", "own").alias("feature")).where("feature is not null")
+    found = hits.join(placed, "symbol").select("genome_id", "feature")
+    if intrinsic:
+        always = vocabulary.where(F.col("feature").isin(intrinsic)).select("feature").distinct()
+        found = found.unionByName((genomes if genomes is not None else hits).select("genome_id").distinct().join(F.broadcast(always)))
+    return found.distinct()
+
+
 def resolve_curated(curated: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(drug, gene, feature): the feature of that very name or, for names without a mutation, all of the same stem."""
     exact = curated.join(vocabulary, F.col("gene") == F.col("feature")).select("drug", "gene", "feature")
@@ -63,13 +102,44 @@ def sparse_score(genomes: DataFrame, features: DataFrame, coefs: DataFrame, inte
 
 
 def nearest_hamming(queries: DataFrame, train: DataFrame) -> DataFrame:
-    """1-NN Hamming distance of presence profiles without a cross join: H = n(a) + n(b) - 2 n(a and b).
-
-    Profiles that share nothing need only the smallest training profile. Both sides are distinct (genome_id, feature)."""
-    nq = queries.groupBy("genome_id").agg(F.count("feature").alias("nq"))
-    profile = train.where("feature is not null").groupBy("genome_id").agg(F.array_sort(F.collect_list("feature")).alias("fs")).groupBy("fs").agg(F.first("genome_id").alias("t"))
-    held = profile.select("t", F.size("fs").alias("nt"), F.explode("fs").alias("feature"))
-    least = train.groupBy("genome_id").agg(F.count("feature").alias("n")).agg(F.min("n").alias("least"))
-    shared = queries.where("feature is not null").join(held, "feature").groupBy("genome_id", "t", "nt").agg(F.count("*").alias("both"))
-    best = shared.groupBy("genome_id").agg(F.min(F.col("nt") - 2 * F.col("both")).alias("best"))
-    return nq.join(best, "genome_id", "left").join(F.broadcast(least)).select("genome_id", (F.col("nq") + F.least(F.coalesce("best", "least"), "least")).cast("long").alias("distance"))
+    """1-NN Hamming distance of presence profiles, exact, without pairing all of them. Both sides are distinct
+    (genome_id, feature); a genome without features has a null one."""
+    return nearest_by_key(queries.withColumn("_k", F.lit(0)), train.withColumn("_k", F.lit(0)), ["_k"]).select("genome_id", "distance")
+
+
+def _profiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "genome_id").agg(F.array_sort(F.collect_set("feature")).alias("fs"))
+
+
+def nearest_by_key(queries: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
+    """The same within each combination of keys (not null).
+
+    Equal profiles are one on either side. Profiles are looked up by themselves and by what is left when one feature
+    goes: that finds all at distance 1 or less, and tells that others are at 2 or more. Only queries that are farther
+    then meet training profiles that share one of the ``best`` rarest of their features, where best is the distance that
+    they have to beat: a closer profile lacks fewer than best of them. Profiles that share nothing need only the smallest."""
+    q = _profiles(queries, keys).withColumn("n", F.size("fs"))
+    profiles = q.select(*keys, "fs", "n").distinct()
+    t = _profiles(train, keys).select(*keys, "fs").distinct().withColumn("m", F.size("fs"))
+    least = t.groupBy(*keys).agg(F.min("m").alias("least"))
+
+    def signatures(rows: DataFrame) -> DataFrame:
+        less = F.transform("fs", lambda x: F.struct(F.array_remove("fs", x).alias("s"), F.lit(1).alias("gone")))
+        return rows.withColumn("z", F.explode(F.concat(F.array(F.struct(F.col("fs").alias("s"), F.lit(0).alias("gone"))), less))).withColumn("s", F.col("z.s")).withColumn("gone", F.col("z.gone")).drop("z")
+
+    held = signatures(t).groupBy(*keys, "s").agg(F.min("gone").alias("there"))
+    near = signatures(profiles).join(held, [*keys, "s"]).groupBy(*keys, "fs").agg(F.min(F.col("gone") + F.col("there")).alias("near"))
+    far = F.col("n") + F.col("least")
+    sofar = profiles.join(F.broadcast(least), keys).join(near, [*keys, "fs"], "left").withColumn("best", F.least(F.coalesce("near", far), far))
+    open_ = sofar.where("best > 2")
+    common = t.select(*keys, F.explode("fs").alias("feature")).groupBy(*keys, "feature").agg(F.count("*").alias("df"))
+    rare = open_.select(*keys, "fs", "n", "best", F.explode("fs").alias("feature")).join(common, [*keys, "feature"])
+    ranked = rare.groupBy(*keys, "fs", "n", "best").agg(F.array_sort(F.collect_list(F.struct("df", "feature"))).alias("r"), F.count("*").alias("there"))
+    # Features that no training profile has count as lacking.
+    few = F.greatest(F.col("best") - (F.col("n") - F.col("there")), F.lit(0)).cast("int")
+    asked = ranked.where(few > 0).select(*keys, "fs", "n", "best", F.explode(F.slice("r", F.lit(1), F.least(few, F.size("r")))).alias("x")).select(*keys, "fs", "n", "best", F.col("x.feature").alias("feature"))
+    index = t.select(*keys, F.col("fs").alias("ts"), "m", F.explode("fs").alias("feature"))
+    met = asked.join(index, [*keys, "feature"]).where("abs(n - m) < best").select(*keys, "fs", "n", "m", "ts").distinct()
+    closer = met.select(*keys, "fs", (F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("fs", "ts"))).alias("d")).groupBy(*keys, "fs").agg(F.min("d").alias("d"))
+    done = sofar.join(closer, [*keys, "fs"], "left").select(*keys, "fs", F.least("best", F.coalesce("d", "best")).cast("long").alias("distance"))
+    return q.join(done, [*keys, "fs"]).select(*keys, "genome_id", "distance")

@@ -10,24 +10,37 @@ def _count(when: Column) -> Column:
     return F.sum(F.when(when, 1).otherwise(0))
 
 
+BUCKETS = 1024
+
+
 def by_score(rows: DataFrame, group: str) -> DataFrame:
     """Positives and negatives of each distinct score: what rank metrics need, aggregated before any window."""
-    return rows.groupBy(group, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    return rows.groupBy(group, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("_b", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int"))
+
+
+def _running(t: DataFrame, group: str, columns: list[str], rising: bool, inclusive: bool) -> DataFrame:
+    """Running sums over a group's scores in order, without a group's scores in one task: sums before each of at most
+    BUCKETS + 1 ranges of scores, and windows within a range."""
+    order = F.col("p") if rising else F.desc("p")
+    bucket = F.col("_b") if rising else F.desc("_b")
+    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    sums = t.groupBy(group, "_b").agg(*[F.sum(c).alias(c) for c in columns]).select(group, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}") for c in columns])
+    both = t.join(sums, [group, "_b"])
+    return both.select(*t.columns, *[(F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_to") for c in columns])
 
 
 def auroc(rows: DataFrame, group: str) -> DataFrame:
     """Mann-Whitney with ties at half, over distinct scores."""
-    w = Window.partitionBy(group).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    t = by_score(rows, group).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    out = t.groupBy(group).agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    t = _running(by_score(rows, group), group, ["neg"], True, False)
+    out = t.groupBy(group).agg(F.sum(F.col("pos") * (F.col("neg_to") + F.col("neg") / 2)).alias("u"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return out.select(group, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auroc"))
 
 
 def average_precision(rows: DataFrame, group: str) -> DataFrame:
     """Sum of recall steps times precision over distinct thresholds."""
-    w = Window.partitionBy(group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    t = by_score(rows, group).withColumn("tp", F.sum("pos").over(w)).withColumn("n", F.sum(F.col("pos") + F.col("neg")).over(w))
-    out = t.groupBy(group).agg(F.sum(F.col("pos") * F.col("tp") / F.col("n")).alias("s"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
+    t = _running(by_score(rows, group), group, ["pos", "neg"], False, True)
+    out = t.groupBy(group).agg(F.sum(F.col("pos") * F.col("pos_to") / (F.col("pos_to") + F.col("neg_to"))).alias("s"), F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
     return out.select(group, F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("s") / F.col("np")).alias("pr_auc"))
 
 
@@ -79,10 +92,37 @@ def over_seeds(rows: DataFrame, group: str, metric: str) -> DataFrame:
     return rows.groupBy(group).agg(F.avg(metric).alias("mean"), F.stddev_pop(metric).alias("sd"), F.count(metric).alias("seeds"))
 
 
+def seed_table(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
+    """One row a group: n_test (mean), seeds, and of each metric mean±sd as text (n/a where no seed has it) and the number
+    of seeds that do. ``rows`` has one row for each group and seed."""
+    def text(m: str) -> Column:
+        return F.when(F.count(m) > 0, F.format_string("%.3f±%.3f", F.avg(m), F.stddev_pop(m))).otherwise("n/a")
+
+    return rows.groupBy(group).agg(F.bround(F.avg("n_test"), 0).cast("long").alias("n_test"), F.count("*").alias("seeds"), *[c for m in metrics for c in (text(m).alias(m), F.count(m).alias(f"{m}_n"))])
+
+
 def leakage(rows: DataFrame, group: str) -> DataFrame:
-    """Mean and sample deviation for the random and the grouped split, and the gap of the means."""
+    """Mean and sample deviation for the random and the grouped split to three digits, and the gap of these means."""
     def of(kind: str, f):
-        return f(F.when(F.col("split") == kind, F.col("value")))
+        return F.round(f(F.when(F.col("split") == kind, F.col("value"))), 3)
 
     out = rows.groupBy(group).agg(*[of(k, f).alias(f"{k}{n}") for k in ("random", "grouped") for n, f in (("", F.avg), ("_sd", F.stddev_samp))])
-    return out.withColumn("gap", F.col("random") - F.col("grouped"))
+    return out.withColumn("gap", F.round(F.col("random") - F.col("grouped"), 3))
+
+
+def calibration(rows: DataFrame, group: str, low: float, high: float) -> DataFrame:
+    """n, Brier score before and after, share of ambiguous and of unfamiliar rows (percent), fitted.
+
+    ``rows`` has y, raw, p (calibrated), ood and fitted."""
+    def share(c: Column) -> Column:
+        return 100.0 * F.sum(c.cast("int")) / F.count("*")
+
+    def loss(c: str) -> Column:
+        return F.avg((F.col(c) - F.col("y")) * (F.col(c) - F.col("y")))
+
+    return rows.groupBy(group).agg(F.count("*").alias("n"), loss("raw").alias("brier_raw"), loss("p").alias("brier_cal"), share(F.col("p").between(low, high)).alias("pct_ambiguous"), share(F.col("ood")).alias("pct_ood"), F.min("fitted").alias("fitted"))
+
+
+def ood_threshold(distances: DataFrame, keys: list[str], at: float, floor: float) -> DataFrame:
+    """(keys, threshold): a percentile of the distances, linear between ranks, but no less than the floor."""
+    return distances.groupBy(*keys).agg(F.greatest(F.percentile("distance", F.lit(at)), F.lit(floor)).alias("threshold"))

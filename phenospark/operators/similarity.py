@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.constants import MASH_K, MASH_THRESHOLD, SKETCH
 from ..functions.scores import mash_distance, mash_jaccard
+from .lineage import cut
 
 
 def shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -35,13 +37,13 @@ def similar_pairs(tokens: DataFrame, threshold: float, k: int, most: int = 64) -
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, root): the smallest id reachable, by label propagation with pointer jumping, checkpointed each round."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = nodes.select("id", F.col("id").alias("root"))
     for _ in range(rounds):
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("m", "root")).alias("to"), "root")
         jump = step.select(F.col("id").alias("k"), F.col("to").alias("far"))
-        step = step.join(jump, F.col("to") == F.col("k"), "left").select("id", F.least("to", "far").alias("root"), (F.least("to", "far") < F.col("root")).alias("moved")).checkpoint()
+        step = cut(step.join(jump, F.col("to") == F.col("k"), "left").select("id", F.least("to", "far").alias("root"), (F.least("to", "far") < F.col("root")).alias("moved")))
         labels = step.select("id", "root")
         if not step.where("moved").limit(1).count():
             return labels
@@ -49,6 +51,38 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame
 
 
 def cluster_labels(roots: DataFrame) -> DataFrame:
-    """CL-0000 and on, in the order of roots; ranks run over the roots alone."""
-    numbered = roots.select("root").distinct().withColumn("k", F.row_number().over(Window.orderBy("root")) - 1)
+    """CL-0000 and on, in the order of roots: places within ranges of roots, and where each range begins."""
+    ranged = roots.select("root").distinct().repartitionByRange("root").sortWithinPartitions("root")
+    placed = cut(ranged.select("root", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    starts = placed.groupBy("part").agg(F.min("at").alias("first"), F.count("*").alias("n"))  # a row for each partition
+    starts = starts.withColumn("begin", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = placed.join(F.broadcast(starts), "part").select("root", (F.col("at") - F.col("first") + F.col("begin")).cast("long").alias("k"))
     return roots.join(numbered, "root").select("id", F.format_string("CL-%04d", "k").alias("cluster_id"))
+
+
+def kmers(sequences: DataFrame, k: int = MASH_K) -> DataFrame:
+    """Distinct (id, token) of the k-mers of each ``sequence``, those across contig borders included, as 64-bit hashes."""
+    at = F.sequence(F.lit(1), F.length("sequence") - k + 1)
+    tokens = F.when(F.length("sequence") >= k, F.transform(at, lambda i: F.xxhash64(F.substr("sequence", i, F.lit(k)))))
+    return sequences.select("id", F.explode(F.array_distinct(tokens)).alias("token"))
+
+
+def sketch(tokens: DataFrame, size: int = SKETCH) -> DataFrame:
+    """(id, sketch): the ``size`` least hashes of each set (all of a smaller one). A hash is only kept where it can be
+    among them: each map task keeps its own least ones first."""
+    hashed = tokens.select("id", F.xxhash64("token", F.lit(1)).alias("h"))
+    w = Window.partitionBy("id").orderBy("h")
+    least = hashed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
+    return least.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+
+
+def sketch_jaccard(x: Column, y: Column, size: int = SKETCH) -> Column:
+    """Jaccard estimate of two bottom sketches: common ones among the least of their union."""
+    union = F.slice(F.array_sort(F.array_union(x, y)), 1, size)
+    return F.size(F.array_intersect(union, F.array_intersect(x, y))) / F.size(union)
+
+
+def cluster(sequences: DataFrame, threshold: float = MASH_THRESHOLD, k: int = MASH_K) -> DataFrame:
+    """(id, cluster_id): single linkage of sequences (id, sequence) closer than a Mash distance, by exact k-mer sets."""
+    pairs = similar_pairs(kmers(sequences, k), threshold, k)
+    return cluster_labels(connected(sequences, pairs))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import names, scores
-from ..operators import contract, features, labels, metrics, models, report, similarity, splits
+from ..operators import build, contract, features, labels, metrics, models, predict, report, similarity, splits
+from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,9 +252,11 @@ def top_drivers(s, d):
 @query(f"""with {_P}, {_COEF} select o_orderkey as genome_id, case when bool_or(f.feature = 'hot_gear') then 'known_gene_or_mutation' when bool_or(k.coef > 0) then 'statistical_association' else 'no_known_signal' end as evidence
 from orders left join f on genome_id = o_orderkey left join k on k.feature = f.feature group by o_orderkey""")
 def evidence_tier(s, d):
-    rows = genomes(s, d).join(features.presence(hits(s, d)), "genome_id", "left").join(coefs(s), "feature", "left")
-    tier = F.when(F.max(F.col("feature") == "hot_gear"), "known_gene_or_mutation").when(F.max(F.col("coef") > 0), "statistical_association").otherwise("no_known_signal")
-    return rows.groupBy("genome_id").agg(tier.alias("evidence"))
+    columns = s.sql("select 'A' as drug, 'hot_gear' as feature")
+    rows = predict.profiles(genomes(s, d), features.presence(hits(s, d)), columns, columns)
+    fitted = coefs(s).withColumn("drug", F.lit("A"))
+    none = target_table(s).limit(0)
+    return predict.tiers(rows, columns, predict.drivers(rows, fitted, none, ["drug"]), ["drug"]).select("genome_id", F.col("evidence_category").alias("evidence"))
 
 
 @query(f"with {_E} select event_id, call from e")
@@ -314,21 +317,22 @@ def multi_seed_summary(s, d):
 
 
 @query(f"""with {_E}, v as (select drug, cluster % 8 as seed, case when event_id % 2 = 0 then 'random' else 'grouped' end as split, avg((p - y) * (p - y)) as value from e group by all),
-g as (select drug, avg(value) filter (split = 'random') as random, stddev_samp(value) filter (split = 'random') as random_sd, avg(value) filter (split = 'grouped') as grouped, stddev_samp(value) filter (split = 'grouped') as grouped_sd from v group by drug)
-select drug, round(random, 6) as random, round(random_sd, 6) as random_sd, round(grouped, 6) as grouped, round(grouped_sd, 6) as grouped_sd, round(random - grouped, 6) as gap from g""")
+g as (select drug, avg(value) filter (split = 'random') as random, stddev_samp(value) filter (split = 'random') as random_sd, avg(value) filter (split = 'grouped') as grouped, stddev_samp(value) filter (split = 'grouped') as grouped_sd from v group by drug),
+r as (select drug, round(random::decimal(18, 9), 3)::double as random, round(random_sd::decimal(18, 9), 3)::double as random_sd, round(grouped::decimal(18, 9), 3)::double as grouped, round(grouped_sd::decimal(18, 9), 3)::double as grouped_sd from g)
+select *, round((random - grouped)::decimal(18, 9), 3)::double as gap from r""")
 def leakage_pivot(s, d):
     split = F.when(F.col("event_id") % 2 == 0, "random").otherwise("grouped").alias("split")
     v = scored(s, d).groupBy("drug", (F.col("cluster") % 8).alias("seed"), split).agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("value"))
-    return metrics.leakage(v, "drug").select("drug", *[r6(c).alias(c) for c in ("random", "random_sd", "grouped", "grouped_sd", "gap")])
+    return metrics.leakage(v, "drug")
 
 
-@query(f"""with {_E} select drug, count(*) as n, round(avg((p - y) * (p - y)), 6) as brier_raw, round(100.0 * count(*) filter (p between 0.3 and 0.7) / count(*), 6)::double as pct_ambiguous,
-round(100.0 * count(*) filter (cluster % 40 = 3) / count(*), 6)::double as pct_ood from e group by drug""")
+@query(f"""with {_E}, c as (select *, 1 / (1 + exp(-(1.5 * ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) - 0.2))) as q from e)
+select drug, count(*) as n, round(avg((p - y) * (p - y)), 6) as brier_raw, round(avg((q - y) * (q - y)), 6) as brier_cal, round(100.0 * count(*) filter (q between 0.3 and 0.7) / count(*), 6)::double as pct_ambiguous,
+round(100.0 * count(*) filter (cluster % 40 = 3) / count(*), 6)::double as pct_ood, true as fitted from c group by drug""")
 def calibration_report(s, d):
-    rows = scored(s, d)
-    sq = (F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))
-    pct = lambda c: r6(100.0 * F.sum(c.cast("int")) / F.count("*"))
-    return rows.groupBy("drug").agg(F.count("*").alias("n"), r6(F.avg(sq)).alias("brier_raw"), pct(F.col("p").between(0.3, 0.7)).alias("pct_ambiguous"), pct(F.col("cluster") % 40 == 3).alias("pct_ood"))
+    rows = scored(s, d).withColumn("raw", F.col("p")).withColumn("p", scores.sigmoid(1.5 * scores.logit(F.col("raw")) - 0.2)).withColumn("ood", F.col("cluster") % 40 == 3).withColumn("fitted", F.lit(True))
+    out = metrics.calibration(rows, "drug", K.NO_CALL_LOW, K.NO_CALL_HIGH)
+    return out.select("drug", "n", *[r6(c).alias(c) for c in ("brier_raw", "brier_cal", "pct_ambiguous", "pct_ood")], "fitted")
 
 
 _NN = f"""{_P}, g as (select o_orderkey as genome_id, o_orderkey % 5 = 0 as train from orders),
@@ -350,12 +354,14 @@ def hamming_nn(s, d):
 
 @query(f"with {_NN} select round(greatest(quantile_cont(distance, 0.99), 1.0), 6)::double as threshold from d")
 def ood_threshold(s, d):
-    return features.nearest_hamming(*_profiles(s, d)).agg(r6(F.greatest(F.percentile("distance", F.lit(K.OOD_PERCENTILE)), F.lit(K.OOD_FLOOR))).alias("threshold"))
+    return metrics.ood_threshold(features.nearest_hamming(*_profiles(s, d)), [], K.OOD_PERCENTILE, K.OOD_FLOOR).select(r6("threshold").alias("threshold"))
 
 
-@query(f"with {_NN} select genome_id, distance > 3 as ood from d")
+@query(f"with {_NN}, t as (select greatest(quantile_cont(distance, 0.99), 1.0) as threshold from d) select genome_id, distance > threshold as ood from d, t")
 def ood_flag(s, d):
-    return features.nearest_hamming(*_profiles(s, d)).select("genome_id", (F.col("distance") > 3).alias("ood"))
+    near = features.nearest_hamming(*_profiles(s, d))
+    limit = metrics.ood_threshold(near, [], K.OOD_PERCENTILE, K.OOD_FLOOR)
+    return near.join(F.broadcast(limit)).select("genome_id", (F.col("distance") > F.col("threshold")).alias("ood"))
 
 
 _SH = r"""w as (select doc_id as id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as ws from documents),
@@ -381,10 +387,15 @@ def connected_components(s, d):
     return similarity.connected(docs, pairs)
 
 
-@query("select doc_id, length(regexp_replace(text, '\\s', '', 'g'))::bigint as total_bp, (length(regexp_replace(text, '\\s', '', 'g')) >= 1000) as plausible from documents")
+@query("""with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), c as (select doc_id::varchar as genome_id, coalesce(sum(length(line)) filter (not starts_with(line, 'The')), 0)::bigint as total_bp,
+count(*) filter (starts_with(line, 'The'))::bigint as n_contigs from l group by doc_id)
+select *, total_bp >= 1000000 and n_contigs > 0 as plausible_genome, case when total_bp >= 1000000 and n_contigs > 0 then '' when n_contigs = 0 then 'No FASTA sequence records were found in this file.'
+else 'This file is only ' || format('{:,}', total_bp) || ' bp across ' || n_contigs || ' record(s) — that is a gene or partial sequence, not a whole-genome assembly (E. coli genomes are ~4.5-5.5 Mb). Any prediction below is unreliable: with no genome to scan, an absence of resistance genes is indistinguishable from a truly susceptible strain. Upload a complete E. coli assembly for a trustworthy result.' end as message from c""")
 def genome_qc(s, d):
-    size = F.length(F.regexp_replace("text", r"\s", "")).cast("long")
-    return table(s, d, "documents").select("doc_id", size.alias("total_bp"), (size >= 1000).alias("plausible"))
+    docs = table(s, d, "documents").select(F.col("doc_id").cast("string").alias("genome_id"), "text")
+    lines = docs.select("genome_id", F.explode(F.split("text", "\n")).alias("line")).select("genome_id", F.regexp_replace(F.btrim("line", F.lit(" ")), "^The", ">The").alias("line"))
+    lines = lines.withColumn("line", F.when(F.startswith("line", F.lit(">The")), F.lit(">")).otherwise(F.col("line")))
+    return readers.genome_qc(docs.select("genome_id"), lines)
 
 
 @query("select p_name, count(*) as n from part group by p_name order by n desc, p_name limit 8")
@@ -394,22 +405,93 @@ def value_counts_topk(s, d):
 
 def predictions(s, d) -> DataFrame:
     """One prediction for each nation, customer segment standing for the drug."""
-    rows = table(s, d, "customer").select(F.col("c_nationkey").alias("sample_id"), F.lit("E. coli").alias("species"), F.array(*map(F.lit, K.DRUG_TARGETS))[(F.col("c_custkey") % 3).cast("int")].alias("drug"), (F.abs("c_acctbal") / 10000).alias("p")).groupBy("sample_id", "species", "drug").agg(F.avg("p").alias("p"))
-    p = F.round("p", 4)
-    call = F.when(F.col("sample_id") % 7 == 0, "not_applicable").when(p.between(0.4, 0.45), "no_call").when(p >= 0.45, "likely_to_fail").otherwise("likely_to_work")
-    return rows.select("sample_id", "species", "drug", call.alias("call"), p.alias("confidence"), F.when(call == "likely_to_fail", "known_gene_or_mutation").otherwise("no_known_signal").alias("evidence_category"), F.when(call == "likely_to_fail", F.array(F.struct(F.lit("gyrA").alias("gene"), F.lit("S83L").alias("mutation"), F.lit("curated").alias("note")))).otherwise(F.array().cast("array<struct<gene:string,mutation:string,note:string>>")).alias("supporting_features"), F.when(call == "no_call", "weak evidence").alias("no_call_reason"))
+    rows = table(s, d, "customer").select(F.col("c_nationkey").alias("sample_id"), F.lit("E. coli").alias("species"), F.array(*map(F.lit, [*K.DRUG_TARGETS, "Colistin"]))[(F.col("c_custkey") % 4).cast("int")].alias("drug"), (F.abs("c_acctbal") / 10000).alias("p")).groupBy("sample_id", "species", "drug").agg(F.avg("p").alias("p"))
+    p, sid = F.round("p", 4), F.col("sample_id")
+    call = F.when(sid % 7 == 0, "not_applicable").when(p.between(0.4, 0.45), "no_call").when(p >= 0.45, "likely_to_fail").otherwise("likely_to_work")
+    fail, work = call == "likely_to_fail", call == "likely_to_work"
+    evidence = F.when(fail & (sid % 3 == 0), "statistical_association").when(fail | (work & (sid % 5 == 0)), "known_gene_or_mutation").otherwise("no_known_signal")
+    one = F.array(F.struct(F.lit("gyrA").alias("gene"), F.lit("S83L").alias("mutation"), F.lit("curated").alias("note")))
+    support = F.when(fail | (work & (sid % 5 == 0)), one).otherwise(F.array().cast(predict.FEATURE))
+    return rows.select("sample_id", "species", "drug", call.alias("call"), p.alias("confidence"), evidence.alias("evidence_category"), support.alias("supporting_features"), F.lit("present").alias("target_gate_status"), F.when((call == "no_call") & (sid % 2 == 0), "weak evidence").alias("no_call_reason"))
+
+
+_PR = """q as (select c_nationkey as sample_id, (['Ampicillin', 'Ciprofloxacin', 'Trimethoprim', 'Colistin'])[(c_custkey % 4 + 1)::int] as drug, round(avg(abs(c_acctbal) / 10000), 4) as p from customer group by all),
+pq as (select *, case when sample_id % 7 = 0 then 'not_applicable' when p between 0.4 and 0.45 then 'no_call' when p >= 0.45 then 'likely_to_fail' else 'likely_to_work' end as call from q),
+pr as (select *, case when call = 'likely_to_fail' and sample_id % 3 = 0 then 'statistical_association' when call = 'likely_to_fail' or (call = 'likely_to_work' and sample_id % 5 = 0) then 'known_gene_or_mutation' else 'no_known_signal' end as evidence,
+  case when call = 'likely_to_fail' or (call = 'likely_to_work' and sample_id % 5 = 0) then 'gyrA S83L' end as genes, case when call = 'no_call' and sample_id % 2 = 0 then 'weak evidence' end as reason,
+  case drug when 'Ampicillin' then 'Beta-lactam (aminopenicillin)' when 'Ciprofloxacin' then 'Fluoroquinolone' when 'Trimethoprim' then 'Folate-pathway antagonist (DHFR inhibitor)' end as class,
+  case drug when 'Ampicillin' then 'ftsI' when 'Ciprofloxacin' then 'gyrA' when 'Trimethoprim' then 'folA' end as locus,
+  round_even(greatest(0.01, least(0.99, p)) * 100, 0)::int || '%' as pct, round_even((1 - greatest(0.01, least(0.99, p))) * 100, 0)::int || '%' as rest from pq)"""
+
+
+@query(f"""with {_PR} select sample_id, drug, coalesce(class, 'Unknown') as drug_class,
+case call when 'likely_to_fail' then 'Likely to fail' when 'likely_to_work' then 'Likely to work' else 'No-call' end as underlying_state,
+round((case when call = 'likely_to_work' then 1 - p else p end)::decimal(18, 9), 3)::double as confidence,
+case call when 'not_applicable' then 'N/A' when 'no_call' then 'Ambiguous' else coalesce(genes, 'None detected') end as target_marker, coalesce(locus, 'N/A') as locus_id,
+case when call = 'not_applicable' then 'The molecular target for ' || drug || ' (' || coalesce(locus, 'the drug target') || ') was not detected in this genome, so susceptibility cannot be assessed from sequence.'
+when call = 'no_call' then 'Evidence for ' || drug || ' is inconclusive, so no confident biological interpretation is made. ' || coalesce(reason, 'the evidence is weak or conflicting')
+when call = 'likely_to_fail' and evidence = 'known_gene_or_mutation' then 'Detected a known ' || coalesce(class, 'this antibiotic class') || ' resistance determinant: ' || genes || '. This is an established mechanism, so the drug is predicted to fail.'
+when call = 'likely_to_fail' then 'No confirmed causal resistance mutation at the ' || coalesce(locus, 'the drug target') || ' target was detected; the prediction does not rest on a proven mechanism.'
+when evidence = 'no_known_signal' then 'No known ' || coalesce(class, 'this antibiotic class') || ' resistance determinant was detected in this genome. (Note: the annotator reports the ' || coalesce(locus, 'the drug target') || ' target only when it is altered, so this is absence of a resistance signal, not a confirmed intact target.)'
+else 'Although ' || genes || ' was noted, the model still predicts ' || drug || ' works; interpret with caution and confirm by lab testing.' end as bio_explanation,
+case when call = 'not_applicable' then 'No probability is reported: the deterministic target gate overrides the statistical model when the drug has no target to act on.'
+when call = 'no_call' then 'A safe prediction cannot be computed for this genome. ' || coalesce(reason, 'the evidence is weak or conflicting')
+when call = 'likely_to_fail' and evidence = 'known_gene_or_mutation' then 'The calibrated model assigns ' || pct || ' probability of resistance, consistent with the detected determinant.'
+when call = 'likely_to_fail' then 'The model links ' || genes || ' to resistance as a learned statistical pattern (association, not proven cause); calibrated probability ' || pct || '.'
+when evidence = 'no_known_signal' then 'Calibrated susceptibility confidence is ' || rest || '; the genomic profile sits within the susceptible range seen in training.'
+else 'Calibrated resistance probability is low (' || pct || ') despite the noted feature(s).' end as stat_explanation from pr""")
+def report_items(s, d):
+    return report.items(predictions(s, d))
 
 
-_PR = """q as (select c_nationkey as sample_id, (['Ampicillin', 'Ciprofloxacin', 'Trimethoprim'])[(c_custkey % 3 + 1)::int] as drug, round(avg(abs(c_acctbal) / 10000), 4) as p from customer group by all),
-pr as (select *, case when sample_id % 7 = 0 then 'not_applicable' when p between 0.4 and 0.45 then 'no_call' when p >= 0.45 then 'likely_to_fail' else 'likely_to_work' end as call from q)"""
+@query(f"""with {_PR} select sample_id, drug, case when call = 'likely_to_fail' and evidence = 'known_gene_or_mutation' then drug || ': LIKELY TO FAIL against this E. coli sample (confidence ' || pct || '). Known resistance mechanism detected: gyrA (S83L) — curated.'
+when call = 'likely_to_fail' then drug || ': LIKELY TO FAIL (confidence ' || pct || '), based on a statistical association with gyrA (S83L) — curated. This is a model-learned pattern, not a confirmed causal resistance mechanism.'
+when call = 'likely_to_work' and evidence = 'no_known_signal' then drug || ': LIKELY TO WORK against this E. coli sample (confidence ' || pct || '). No resistance signal was found, and the drug''s molecular target is present.'
+when call = 'likely_to_work' then drug || ': LIKELY TO WORK (confidence ' || pct || '), though note: gyrA (S83L) — curated.'
+when call = 'no_call' then drug || ': NO CONFIDENT PREDICTION for this sample. Reason: ' || coalesce(reason, 'insufficient evidence') || '.'
+else drug || ': this drug''s molecular target was not found in the genome — not applicable to this organism.' end as explanation_text,
+'This is a research prototype. All results must be confirmed with standard laboratory testing.' as disclaimer, pct as confidence_label from pr""")
+def explanations(s, d):
+    return report.explain(predictions(s, d))
 
 
-@query(f"""with {_PR} select sample_id, drug, case drug when 'Ampicillin' then 'Beta-lactam (aminopenicillin)' when 'Ciprofloxacin' then 'Fluoroquinolone' else 'Folate-pathway antagonist (DHFR inhibitor)' end as drug_class,
-case call when 'likely_to_fail' then 'Likely to fail' when 'likely_to_work' then 'Likely to work' else 'No-call' end as underlying_state,
-round(case when call = 'likely_to_work' then 1 - p else p end, 4) as confidence, case call when 'not_applicable' then 'N/A' when 'no_call' then 'Ambiguous' when 'likely_to_fail' then 'gyrA S83L' else 'None detected' end as target_marker,
-case drug when 'Ampicillin' then 'ftsI' when 'Ciprofloxacin' then 'gyrA' else 'folA' end as locus_id from pr""")
-def report_items(s, d):
-    return report.items(predictions(s, d)).drop("explanation", "disclaimer").withColumn("confidence", F.round("confidence", 4))
+@query(f"with {_PR} select sample_id, count(*) filter (call = 'likely_to_work')::bigint as works, count(*) filter (call = 'likely_to_fail')::bigint as fails, count(*) filter (call in ('no_call', 'not_applicable'))::bigint as holds from pr group by sample_id")
+def panel_counts(s, d):
+    return report.panel_counts(predictions(s, d))
+
+
+@query(f"with {_PR} select sample_id, string_agg(drug || '=' || call, ',' order by case call when 'likely_to_work' then 0 when 'likely_to_fail' then 1 else 2 end, drug) as drugs from pr group by sample_id")
+def report_order(s, d):
+    one = F.from_json("report", "array<struct<drug:string,underlying_state:string,target_marker:string>>")
+    state = lambda x: F.when(x["underlying_state"] == "Likely to work", "likely_to_work").when(x["underlying_state"] == "Likely to fail", "likely_to_fail").when(x["target_marker"] == "N/A", "not_applicable").otherwise("no_call")
+    return report.report_json(predictions(s, d)).select("sample_id", F.array_join(F.transform(one, lambda x: F.concat(x["drug"], F.lit("="), state(x))), ",").alias("drugs"))
+
+
+@query("""select p_partkey, (p_partkey % 4 <> 0 and p_partkey % 4 <> 3) as unlisted from part""")
+def unlisted_gene_guard(s, d):
+    said = F.concat(F.lit("The "), "p_name", F.lit(" with "), F.array(*map(F.lit, ["blaNDM-5", "qnrS1", "tet(A)", "GYRA"]))[((F.col("p_partkey") + 3) % 4).cast("int")], F.lit(" fails."))
+    genes = F.array(F.struct(F.when(F.col("p_partkey") % 4 == 3, "tet(A)").otherwise("sul1").alias("gene")))
+    return table(s, d, "part").select("p_partkey", report.names_unlisted_gene(said, F.lit("Ciprofloxacin"), genes).alias("unlisted"))
+
+
+@query(f"""with {_PR}, m as (select *, case sample_id % 4 when 0 then ['TEM', 'CTX-M', 'Tet'] when 1 then ['dhfrI'] when 2 then ['AAC-Ib-cr', 'KPC'] else [] end as fam from pr),
+k as (select *, case drug when 'Ampicillin' then list_filter(['CTX-M', 'KPC', 'TEM'], lambda x: list_contains(fam, x)) when 'Ciprofloxacin' then list_filter(['AAC-Ib-cr'], lambda x: list_contains(fam, x)) when 'Trimethoprim' then list_filter(['dhfrI'], lambda x: list_contains(fam, x)) else [] end as causal from m)
+select sample_id, drug, case when call = 'likely_to_fail' and len(causal) > 0 then 'known_gene_or_mutation' else evidence end as evidence, case when call = 'likely_to_fail' and len(causal) > 0 then array_to_string(causal, ',') else coalesce('gyrA' || case when genes is null then null else '' end, '') end as genes from k""")
+def evidence_upgrade(s, d):
+    fam = F.array(F.array(*map(F.lit, ["TEM", "CTX-M", "Tet"])), F.array(F.lit("dhfrI")), F.array(*map(F.lit, ["AAC-Ib-cr", "KPC"])), F.array().cast("array<string>"))[(F.col("sample_id") % 4).cast("int")]
+    up = predict.upgrade(predictions(s, d).withColumn("features", fam))
+    return up.select("sample_id", "drug", F.col("evidence_category").alias("evidence"), F.array_join(F.transform("supporting_features", lambda f: f["gene"]), ",").alias("genes"))
+
+
+@query("select case when p >= 0.99 then '>99%' when p <= 0.01 then '<1%' else printf('%.1f%%', p * 100) end as label, n from (select (c_custkey % 101) / 100.0 as p, count(*) as n from customer group by all)")
+def certainty_labels(s, d):
+    return table(s, d, "customer").groupBy(((F.col("c_custkey") % 101) / 100.0).alias("p")).agg(F.count("*").alias("n")).select(scores.certainty_label(F.col("p") * 100).alias("label"), "n")
+
+
+@query(f"with {_PR}, x as (select sample_id, drug, case when sample_id % 4 = 1 then 'maybe' else call end as call, case when sample_id % 6 = 2 then p + 1 else p end as confidence from pr) select 'call' as rule, sample_id || '/' || drug as key, call as detail from x where call = 'maybe' union all select 'confidence', sample_id || '/' || drug, confidence::varchar from x where confidence > 1")
+def prediction_faults(s, d):
+    p = predictions(s, d).withColumn("call", F.when(F.col("sample_id") % 4 == 1, "maybe").otherwise(F.col("call"))).withColumn("confidence", F.when(F.col("sample_id") % 6 == 2, F.col("confidence") + 1).otherwise(F.col("confidence")))
+    return contract.prediction_faults(p)
 
 
 @query(f"""with {_PR}, g as (select sample_id, count(*) as n, string_agg(drug, ', ' order by drug) filter (call = 'likely_to_work') as w, string_agg(drug, ', ' order by drug) filter (call = 'likely_to_fail') as f, string_agg(drug, ', ' order by drug) filter (call in ('no_call', 'not_applicable')) as h from pr group by sample_id)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import MIN_GENOME_BP
+from ..functions.constants import BATCH_IDS, MIN_GENOME_BP, PAGE_LIMIT, TRIES
 
 
 class GenomeReaderError(ValueError):
@@ -18,7 +21,7 @@ class GenomeReaderError(ValueError):
 def csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     """All columns as strings; a byte-order mark before the first name is dropped."""
     df = spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path)
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
 def column(df: DataFrame, candidates: list[str], required: bool = True) -> str | None:
@@ -29,27 +32,112 @@ def column(df: DataFrame, candidates: list[str], required: bool = True) -> str |
     return found
 
 
-def annotations(spark: SparkSession, path: str) -> DataFrame:
-    """genome_id, symbol, type, subtype, class, subclass of all ``*.amrfinder.tsv`` below a folder, old and new headers."""
-    df = csv(spark, f"{path}/*.amrfinder.tsv", "\t").withColumn("genome_id", F.regexp_replace(F.col("_metadata.file_name"), r"\.amrfinder\.tsv$", ""))
-    names = {"symbol": ["Element symbol", "Gene symbol"], "type": ["Type", "Element type"], "subtype": ["Subtype", "Element subtype"]}
-    out = [F.col(f"`{column(df, v)}`").alias(k) for k, v in names.items()]
-    rest = [(F.col(f"`{c}`") if (c := column(df, [k.title()], False)) else F.lit(None).cast("string")).alias(k) for k in ("class", "subclass")]
-    return df.select("genome_id", *out, *rest)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store Spark reads it from."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """genome_id, total_bp, n_contigs, plausible_genome of FASTA files: counts only, no sequence is gathered."""
-    lines = spark.read.text(path).select(F.regexp_replace(F.col("_metadata.file_name"), r"\.(fna|fasta|fa)$", "").alias("genome_id"), F.trim("value").alias("line"))
+def first_of(spark: SparkSession, paths: list[str]) -> str:
+    """The first path that is there: the preferred source, or one that stands in for it."""
+    found = next((p for p in paths if exists(spark, p)), None)
+    if found is None:
+        raise GenomeReaderError(f"none of {paths}")
+    return found
+
+
+def files(spark: SparkSession, path: str, patterns: list[str]) -> DataFrame:
+    """genome_id (the name without its ending) and length of the files of a folder that have one of the endings
+    (``*.fna``), in the order of names; empty files count, which no reader of contents lists. Raises where there are none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    ends = [x.lstrip("*") for x in patterns]
+    listed = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    found = []
+    for f in listed:
+        name = f.getPath().getName()
+        end = next((e for e in ends if name.endswith(e)), None)
+        if f.isFile() and end:
+            found.append((name.removesuffix(end), f.getLen()))
+    if not found:
+        raise GenomeReaderError(f"no {patterns} in {path}")
+    return spark.createDataFrame(sorted(found), "genome_id string, length long")
+
+
+#: Names of an annotation table's columns, of newer and older versions (fixed values).
+COLUMNS = {"symbol": ["Element symbol", "Gene symbol"], "type": ["Type", "Element type"], "subtype": ["Subtype", "Element subtype"], "class": ["Class"], "subclass": ["Subclass"]}
+NEEDED = ("symbol", "type")
+TSV = "*.amrfinder.tsv"
+
+
+def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Genomes (genome_id) of all ``*.amrfinder.tsv`` of a folder, empty files among them, and hits (genome_id, symbol,
+    type, subtype, class, subclass, pos: the file's name and line).
+
+    Files are read as lines, each with its own header, so that those of old and new versions may lie in one folder. A
+    header without a needed column raises when the hits are read."""
+    listed = files(spark, path, [TSV])
+    genomes = listed.select("genome_id")
+    name = F.col("_metadata.file_name")
+    lines = spark.read.option("pathGlobFilter", TSV).option("wholetext", True).text(path).select(F.regexp_replace(name, r"\.amrfinder\.tsv$", "").alias("genome_id"), F.split(F.regexp_replace("value", r"^\x{FEFF}|\r", ""), "\n").alias("lines"))
+    split = lines.select("genome_id", F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("at", "line")).where("line <> ''")
+    cells = split.withColumn("cells", F.split("line", "\t"))
+
+    def cell(kind: str):
+        place = F.coalesce(*[F.when(F.array_position("head", c) > 0, F.array_position("head", c)) for c in COLUMNS[kind]])
+        if kind in NEEDED:
+            place = F.coalesce(place, F.raise_error(F.concat(F.lit(f"none of {COLUMNS[kind]} in the header of "), F.col("genome_id"))).cast("long"))
+        return F.get("cells", (place - 1).cast("int")).alias(kind)
+
+    return genomes, cells.select("genome_id", *map(cell, COLUMNS), F.struct("genome_id", "at").alias("pos"))
+
+
+FASTA = ["*.fna", "*.fasta", "*.fa"]
+
+
+def _fasta_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    listed = files(spark, path, FASTA).select("genome_id")
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(fna|fasta|fa)$", "")
+    lines = spark.read.option("pathGlobFilter", "{" + ",".join(FASTA) + "}").text(path).select(name.alias("genome_id"), F.trim(F.regexp_replace("value", r"\s+$", "")).alias("line"))
+    return listed, lines
+
+
+def fasta_qc(spark: SparkSession, path: str) -> DataFrame:
+    """genome_id, total_bp, n_contigs, plausible_genome, message of FASTA files: counts only, no sequence is gathered."""
+    listed, lines = _fasta_lines(spark, path)
+    return genome_qc(listed, lines)
+
+
+def genome_qc(genomes: DataFrame, lines: DataFrame) -> DataFrame:
+    """The same from lines (genome_id, line)."""
     head = F.startswith("line", F.lit(">"))
-    qc = lines.groupBy("genome_id").agg(F.sum(F.when(head, 0).otherwise(F.length("line"))).alias("total_bp"), F.sum(head.cast("long")).alias("n_contigs"))
-    return qc.withColumn("plausible_genome", (F.col("total_bp") >= MIN_GENOME_BP) & (F.col("n_contigs") > 0))
+    counts = lines.groupBy("genome_id").agg(F.sum(F.when(head, 0).otherwise(F.length(F.trim("line")))).alias("bp"), F.sum(head.cast("long")).alias("contigs"))
+    out = genomes.join(counts, "genome_id", "left").select("genome_id", F.coalesce("bp", F.lit(0)).cast("long").alias("total_bp"), F.coalesce("contigs", F.lit(0)).cast("long").alias("n_contigs"))
+    fine = (F.col("total_bp") >= MIN_GENOME_BP) & (F.col("n_contigs") > 0)
+    # What a reader of the check is told.
+    none = "No FASTA sequence records were found in this file."
+    small = F.concat(
+        F.lit("This file is only "), F.format_number("total_bp", 0), F.lit(" bp across "), F.col("n_contigs").cast("string"),
+        F.lit(" record(s) — that is a gene or partial sequence, not a whole-genome assembly (E. coli genomes are ~4.5-5.5 Mb). Any prediction below is unreliable: with no genome to scan, an absence of resistance genes is indistinguishable from a truly susceptible strain. Upload a complete E. coli assembly for a trustworthy result."),
+    )
+    return out.withColumn("plausible_genome", fine).withColumn("message", F.when(fine, "").when(F.col("n_contigs") == 0, none).otherwise(small))
+
+
+def sequences(spark: SparkSession, path: str) -> DataFrame:
+    """id, sequence: all contigs of each FASTA file joined, in capitals. A genome is one row."""
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(fna|fasta|fa)$", "")
+    whole = spark.read.option("pathGlobFilter", "{" + ",".join(FASTA) + "}").option("wholetext", True).text(path)
+    bare = F.regexp_replace(F.regexp_replace("value", r"(?m)^>.*$", ""), r"[\r\n\t ]+", "")
+    return files(spark, path, FASTA).select(F.col("genome_id").alias("id")).join(whole.select(name.alias("id"), F.upper(bare).alias("sequence")), "id", "left").select("id", F.coalesce("sequence", F.lit("")).alias("sequence"))
+
+
+def id_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """genome_id of a list, as strings, in the order of the file; the first ``limit`` where one is asked for."""
+    ids = csv(spark, path).select("genome_id")
+    return ids.limit(limit) if limit else ids
 
 
 def zip_csvs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables of a zip of CSV files, by stem. Meant for small archives of curated tables."""
-    import pandas as pd
-
     raw = spark.read.format("binaryFile").load(path).select("content").first().content
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
         return {n.rsplit("/", 1)[-1].removesuffix(".csv"): spark.createDataFrame(pd.read_csv(z.open(n), dtype=str, keep_default_na=False)) for n in z.namelist() if n.endswith(".csv")}
@@ -61,9 +149,66 @@ def targets(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.explode("m")).select(F.col("key").alias("drug"), F.col("value.target_genes").alias("target_genes"), F.col("value.note").alias("note"))
 
 
-def cached_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of API answers that were kept as JSON files."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def requests(ids: DataFrame, endpoint: str, columns: list[str], extra: str = "", size: int = BATCH_IDS) -> DataFrame:
+    """endpoint, query and key of the requests for ids (genome_id, n: their number from 0), ``size`` ids in each; filter and
+    columns are part of the query, and the key of a kept answer is a digest of it."""
+    by = ids.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "genome_id"))), lambda x: x["genome_id"]), ",").alias("ids"))
+    inside = F.concat(F.lit("in(genome_id,("), "ids", F.lit("))"))
+    asked = F.concat(F.lit("and("), inside, F.lit(f",{extra})")) if extra else inside
+    query = F.concat(asked, F.lit(f"&select({','.join(columns)})&limit({PAGE_LIMIT})"))
+    return by.select("batch", F.lit(endpoint).alias("endpoint"), query.alias("query")).withColumn("key", F.concat(F.lit(f"{endpoint}_"), F.substring(F.sha1(F.concat(F.lit(f"{endpoint}?"), "query")), 1, 16), F.lit(".json")))
+
+
+def answers(asked: DataFrame, cache: str, schema: str, limit: int = PAGE_LIMIT) -> DataFrame:
+    """Rows of the kept answers to requests() below a folder, with batch and pos. Raises (when read) for a request without
+    an answer and for an answer that fills a page, which may have lost rows."""
+    spark = asked.sparkSession
+    kept = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(cache).select(F.col("_metadata.file_name").alias("key"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    told = asked.join(kept, "key", "left")
+    missing = F.raise_error(F.concat(F.lit("no answer is kept for "), F.col("key")))
+    full = F.raise_error(F.concat(F.lit(f"an answer has {limit} rows or more, ask for fewer ids: "), F.col("key")))
+    checked = told.withColumn("rows", F.when(F.col("rows").isNull(), missing.cast(f"array<struct<{schema}>>")).when(F.size("rows") >= limit, full.cast(f"array<struct<{schema}>>")).otherwise(F.col("rows")))
+    return checked.select("batch", F.posexplode("rows").alias("pos", "r")).select("batch", "pos", "r.*")
+
+
+def fetch(asked: DataFrame, get: Callable[[str, str], str], cache: str, tries: int = TRIES, wait: float = 2.0) -> None:
+    """Keep answers of requests() that are not kept yet: ``get`` (endpoint, query) gives JSON text; a failure is tried again
+    after ``wait`` seconds times the number of tries so far. Requests go out from the tasks, answers are written by Spark."""
+    spark = asked.sparkSession
+    if exists(spark, cache):
+        have = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(cache).select(F.element_at(F.split("path", "/"), -1).alias("key"))
+        asked = asked.join(have, "key", "left_anti")
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for endpoint, query in zip(f["endpoint"], f["query"], strict=True):
+                for n in range(1, tries + 1):
+                    try:
+                        out.append(get(endpoint, query))
+                        break
+                    except Exception as e:  # any failure of the service
+                        if n == tries:
+                            raise RuntimeError(f"{endpoint} failed after {tries} tries: {e}") from e
+                        time.sleep(wait * n)
+            yield pd.DataFrame({"key": f["key"], "value": out})
+
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for r in asked.select("endpoint", "query", "key").mapInPandas(ask, "key string, value string").toLocalIterator():
+        target = fs.Path(f"{cache}/{r.key}")
+        out = target.getFileSystem(conf).create(target, True)
+        out.write(bytearray(r.value.encode()))
+        out.close()
+
+
+def gate_failures(results: DataFrame, most: float = 0.05) -> DataFrame:
+    """results (genome_id, error: null where it went well) of a batch of annotations, without the failed; raises where more
+    than a share of ``most`` failed."""
+    n, bad = results.agg(F.count("*"), F.count("error")).first()
+    if n and bad > most * n:
+        raise GenomeReaderError(f"{bad} of {n} genomes failed, above {most:.1%}")
+    return results.where("error is null").drop("error")
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet") -> None:

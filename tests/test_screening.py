@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from phenospark.functions import names, scores
 from phenospark.operators import contract, features, labels, metrics, models, similarity, splits
 from phenospark.plans import queries as plans
-from phenospark.sources import readers
 
 
 def one(spark, c):
@@ -111,15 +110,5 @@ def test_components(spark):
     assert {r.cluster_id for r in similarity.cluster_labels(roots).collect()} == {"CL-0000", "CL-0001", "CL-0002"}
 
 
-def test_readers(spark, tmp_path):
-    (tmp_path / "562.10.amrfinder.tsv").write_text("Name\tElement symbol\tType\tSubtype\tClass\tSubclass\nx\tgyrA_S83L\tAMR\tPOINT\tQ\tQ\n")
-    (tmp_path / "562.7.amrfinder.tsv").write_text("")
-    got = readers.annotations(spark, str(tmp_path)).collect()
-    assert [(r.genome_id, r.symbol) for r in got] == [("562.10", "gyrA_S83L")]
-    (tmp_path / "g.fasta").write_text(">c1\nACGT\nAC\n>c2\nG\n")
-    qc = readers.fasta(spark, str(tmp_path / "g.fasta")).first()
-    assert (qc.total_bp, qc.n_contigs, qc.plausible_genome) == (7, 2, False)
-
-
 def test_queries_have_sql():
     assert set(plans.SQL) <= set(plans.QUERIES) and len(plans.QUERIES) > 45
