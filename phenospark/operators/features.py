@@ -23,6 +23,8 @@ def counts(genomes: DataFrame, features: DataFrame, name: str = "n_features") ->
 
 def matrix(genomes: DataFrame, features: DataFrame, vocabulary: list[str]) -> DataFrame:
     """Wide 0/1 table over a stated vocabulary: one conditional maximum a column, no pivot pass to find it."""
+    if not vocabulary:
+        return genomes.select("genome_id")
     cells = [F.max((F.col("feature") == v).cast("int")).alias(f"_{i}") for i, v in enumerate(vocabulary)]
     wide = features.where(F.col("feature").isin(vocabulary)).groupBy("genome_id").agg(*cells)
     out = genomes.select("genome_id").join(wide, "genome_id", "left")

@@ -78,7 +78,7 @@ def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     listed = files(spark, path, [TSV])
     genomes = listed.select("genome_id")
     name = F.col("_metadata.file_name")
-    lines = spark.read.option("pathGlobFilter", TSV).option("wholetext", True).text(path).select(F.regexp_replace(name, r"\.amrfinder\.tsv$", "").alias("genome_id"), F.split(F.regexp_replace("value", r"^\x{FEFF}|\r", ""), "\n").alias("lines"))
+    lines = spark.read.option("pathGlobFilter", TSV).text(path, wholetext=True).select(F.regexp_replace(name, r"\.amrfinder\.tsv$", "").alias("genome_id"), F.split(F.regexp_replace("value", r"^\x{FEFF}|\r", ""), "\n").alias("lines"))
     split = lines.select("genome_id", F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("at", "line")).where("line <> ''")
     cells = split.withColumn("cells", F.split("line", "\t"))
 
@@ -125,7 +125,7 @@ def genome_qc(genomes: DataFrame, lines: DataFrame) -> DataFrame:
 def sequences(spark: SparkSession, path: str) -> DataFrame:
     """id, sequence: all contigs of each FASTA file joined, in capitals. A genome is one row."""
     name = F.regexp_replace(F.col("_metadata.file_name"), r"\.(fna|fasta|fa)$", "")
-    whole = spark.read.option("pathGlobFilter", "{" + ",".join(FASTA) + "}").option("wholetext", True).text(path)
+    whole = spark.read.option("pathGlobFilter", "{" + ",".join(FASTA) + "}").text(path, wholetext=True)
     bare = F.regexp_replace(F.regexp_replace("value", r"(?m)^>.*$", ""), r"[\r\n\t ]+", "")
     return files(spark, path, FASTA).select(F.col("genome_id").alias("id")).join(whole.select(name.alias("id"), F.upper(bare).alias("sequence")), "id", "left").select("id", F.coalesce("sequence", F.lit("")).alias("sequence"))
 
@@ -145,7 +145,7 @@ def zip_csvs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
     """drug, target_genes from a JSON object of drugs."""
-    one = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string, struct<target_genes:array<string>, note:string>>").alias("m"))
+    one = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<target_genes:array<string>, note:string>>").alias("m"))
     return one.select(F.explode("m")).select(F.col("key").alias("drug"), F.col("value.target_genes").alias("target_genes"), F.col("value.note").alias("note"))
 
 
@@ -163,7 +163,7 @@ def answers(asked: DataFrame, cache: str, schema: str, limit: int = PAGE_LIMIT)
     """Rows of the kept answers to requests() below a folder, with batch and pos. Raises (when read) for a request without
     an answer and for an answer that fills a page, which may have lost rows."""
     spark = asked.sparkSession
-    kept = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(cache).select(F.col("_metadata.file_name").alias("key"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    kept = spark.read.option("pathGlobFilter", "*.json").text(cache, wholetext=True).select(F.col("_metadata.file_name").alias("key"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
     told = asked.join(kept, "key", "left")
     missing = F.raise_error(F.concat(F.lit("no answer is kept for "), F.col("key")))
     full = F.raise_error(F.concat(F.lit(f"an answer has {limit} rows or more, ask for fewer ids: "), F.col("key")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from phenospark.functions import constants as K
 from phenospark.functions import scores
 from phenospark.operators import build, contract, features, labels, metrics, models, predict, report, similarity, splits
-from phenospark.plans import evaluation, panel
+from phenospark.plans import evaluation, jobs, panel
 from phenospark.sources import dataset, readers
 from synthetic import synthetic
 
@@ -341,3 +341,24 @@ def test_metric_values(spark):
     want = np.percentile([r.distance for r in near.collect()], 99)
     assert abs(metrics.ood_threshold(near, ["drug"], 0.99, 1.0).first().threshold - want) < 1e-9
     assert spark.range(1).select(scores.certainty_label(F.lit(99.2)).alias("x")).first().x == ">99%"
+
+
+def test_jobs(spark, fitted, tmp_path):
+    (tmp_path / "u.amrfinder.tsv").write_text("Name\tElement symbol\tType\tSubtype\tClass\tSubclass\nx\tblaTEM-1\tAMR\tAMR\tB\tB1\n")
+    (tmp_path / "v.amrfinder.tsv").write_text("")
+    (tmp_path / "u.fna").write_text(">c\nACGT\n")
+    about = jobs.read_annotations(spark, str(tmp_path), f"{tmp_path}/out")
+    assert [tuple(r) for r in about.collect()] == [("blaTEM-1", "blaTEM-1", "acquired_gene", "B", "B1")]
+    assert {tuple(r) for r in readers.csv(spark, f"{tmp_path}/out/features.csv").collect()} == {("u", "1"), ("v", "0")}
+    qc, told = jobs.analyze(spark, fitted, str(tmp_path), str(tmp_path), ["Ampicillin"])
+    assert qc.first().total_bp == 4 and {(r.sample_id, r.drug) for r in told.collect()} == {("u", "Ampicillin"), ("v", "Ampicillin")}
+    assert {len(json.loads(r.report)) for r in jobs.reports(spark, fitted, str(tmp_path)).collect()} == {2}
+    answers = {
+        "genome_amr": [{"genome_id": g, "antibiotic": "ampicillin", "resistant_phenotype": p, "evidence": "Laboratory Method"} for g, p in (("1.10", "Resistant"), ("2.1", "Susceptible"))],
+        "sp_gene": [{"genome_id": "1.10", "gene": "blaX", "antibiotics_class": "b"}],
+        "genome": [{"genome_id": "1.10", "mlst": "M.e.1"}, {"genome_id": "2.1", "mlst": "M.e.2"}],
+    }
+    ids = spark.createDataFrame([("1.10", 0), ("2.1", 1)], "genome_id string, n long")
+    jobs.build_from_cache(spark, ids, f"{tmp_path}/cache", f"{tmp_path}/built", lambda endpoint, query: json.dumps(answers[endpoint]))
+    again = dataset.load(spark, f"{tmp_path}/built")
+    assert {tuple(r) for r in again.features.collect()} == {("1.10", "blaX")} and again.labels.count() == 2
