@@ -5,16 +5,20 @@ sides; two texts that share ``window`` words share the fingerprint chosen there,
 Fingerprints of the documents that also are fingerprints of items are then extended: the windows around them are
 compared whole, and the words of matching windows are hit.
 
-The item side is taken in blocks of at most ``BLOCK_WINDOWS`` windows; a block's sorted hashes (16 bytes a window) go to
-the executors, so what is broadcast is bounded whatever the benchmark's size, and each further block is one more pass.
-No document row is shuffled unless there are several blocks.
+The item side is taken in blocks of at most ``BLOCK_WINDOWS`` windows, a longer item in parts that overlap; a block's
+sorted hashes (16 bytes a window) go to the executors, so what the driver holds and sends is bounded whatever the
+benchmark's size, and each further block is one more pass whose hits are written before the next block is read. No
+document row is shuffled unless there are several blocks.
 
 Defined cases: null and wordless texts have no windows; an item of fewer words than the window is one window, its words;
-repeated items count each by its own id; items with a null id hit words but are listed nowhere.
+repeated items count each by its own id; items with a null id hit words but are listed nowhere; repeated documents are
+judged each. Very long texts are taken alone; without items no word is hit, without documents there is no row; other
+columns are never read (or, in clean(), only passed on), whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,8 @@ from . import common as C
 WINDOW, GRAM = 10, 5
 #: Windows of one block of the benchmark.
 BLOCK_WINDOWS = 1 << 20
+#: Words as ALNUM has them, in either case.
+_WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
 _SCHEMA = "row_text string, doc_id long, n_words long, hits array<int>, item_ids array<long>"
 
 
@@ -129,18 +135,30 @@ def _scan(told: dict, window: int, gram: int, keep_all: bool, keep_text: bool):
     return scan
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items, a block of at most ``limit`` windows (or one item) at a time; the driver holds one block."""
+def _parts(text: str | None, limit: int, window: int) -> Iterator[tuple[str | None, int]]:
+    """The text and its number of words, in parts of at most ``limit`` windows that overlap by a window less one word."""
+    if text is None or len(text) <= limit:
+        yield text, len(text) // 2 + 1 if text else 0
+        return
+    spans = [m.span() for m in _WORD.finditer(text)]
+    step = max(1, limit)
+    for a in range(0, max(1, len(spans) - window + 1), step):
+        part = spans[a : a + step + window - 1]
+        yield (text[part[0][0] : part[-1][1]] if part else ""), len(part)
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, limit: int, window: int) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items, a block of at most about ``limit`` windows at a time; the driver holds one block (and one item)."""
     rows = benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`").cast("string")).toLocalIterator()
     block: list[tuple[int | None, str | None]] = []
     size = 0
     for ident, said in rows:
-        n = len(said) // 2 + 1 if said else 0
-        if block and size + n > limit:
-            yield block
-            block, size = [], 0
-        block.append((ident, said))
-        size += n
+        for part, n in _parts(said, limit, window):
+            if block and size + n > limit:
+                yield block
+                block, size = [], 0
+            block.append((ident, part))
+            size += n
     yield block
 
 
@@ -149,16 +167,18 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     if not 0 < gram <= window:
         raise ValueError("0 < gram <= window")
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    told = [_tell(b, window, gram) for b in _blocks(benchmark, item_col, item_text, block_windows)]
-    if len(told) == 1:
-        return docs.mapInArrow(_scan(told[0], window, gram, True, False), _SCHEMA).drop("row_text")
+    blocks = _blocks(benchmark, item_col, item_text, block_windows, window)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return docs.mapInArrow(_scan(_tell(block, window, gram), window, gram, True, False), _SCHEMA).drop("row_text")
     # Several blocks: each pass gives only documents with hits; rows are told apart by id and text.
     none = {"prints": np.zeros(0, np.uint64), "by": {}}
     key = F.sha2("row_text", 256).alias("sha")
     part = None
-    for t in told:
-        one = docs.mapInArrow(_scan(t, window, gram, False, True), _SCHEMA).select("doc_id", key, "hits", "item_ids").distinct()
+    while block is not None:
+        one = C.materialize(docs.mapInArrow(_scan(_tell(block, window, gram), window, gram, False, True), _SCHEMA).select("doc_id", key, "hits", "item_ids").distinct())
         part = one if part is None else part.unionByName(one)
+        block, following = following, next(blocks, None)
     part = part.groupBy("doc_id", "sha").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
     base = docs.mapInArrow(_scan(none, window, gram, True, True), _SCHEMA).select("doc_id", key, "n_words")
     both = base.alias("a").join(part.alias("b"), (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & (F.col("a.sha") == F.col("b.sha")), "left")
@@ -166,7 +186,7 @@ def find(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents (all their columns) in which no window of the benchmark occurs; a pass for each block, no shuffle."""
+    """The documents (all their columns) in which no window of the benchmark occurs; a pass for each block, no shuffle; between blocks what is left is written."""
     names, at = documents.columns, documents.columns.index(text_col)
 
     def keep(told: dict):
@@ -180,8 +200,13 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
         return scan
 
     out = documents.toDF(*[str(k) for k in range(len(names))])
-    for block in _blocks(benchmark, item_col, item_text, block_windows):
+    blocks = _blocks(benchmark, item_col, item_text, block_windows, window)
+    block, following = next(blocks), next(blocks, None)
+    while block is not None:
         out = out.mapInArrow(keep(_tell(block, window, gram)), out.schema)
+        if following is not None:
+            out = C.materialize(out)
+        block, following = following, next(blocks, None)
     return out.toDF(*names)
 
 
@@ -195,5 +220,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.sha2(ids, 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
     )
-
-
