@@ -5,13 +5,18 @@ is walked by a Hilbert curve. Every ordering is range-partitioned and cut into b
 is its block and the two beside it. The windows of all orderings merge and are reranked by exact inner products.
 
 Windows alone reach little recall on vectors without structure, as all low-dimensional orderings do. With
-``complete=True`` an exact check follows: the blocks of the first ordering carry centre and radius, and a block is scored
-for a chunk of queries unless |q.c| and the radius prove that it can't hold anything above the chunk's least score found.
-Scores are matrix products of a block and a chunk, each bounded in size.
+``complete=True`` an exact check follows: the queries, ``CHUNK`` at a time in the first ordering, go to a scan of all
+blocks, and a block is scored unless its centre and radius and those of the chunk prove that it can't hold anything above
+the least score found. Nothing is shuffled for it but each task's best.
+
+Candidates are chosen by matrix products with room for rounding, then scored by one sum in a fixed order, so that equal
+vectors have equal scores wherever they lie. Of equal vectors in a block only the k + 1 of smallest id can be among the
+nearest; the others are left out before scoring, so that a vector that very many rows share costs no more than another.
 
 Defined cases: vectors that are null, zero, or hold a null or a non-finite component take no part, on either side, nor
 do vectors of another length than the most frequent one; equal vectors differ by id, so that the curve's blocks stay
-bounded; ties go to the smaller id; rows repeated under one id count once.
+bounded; ties go to the smaller id; rows repeated under one id count once, by the vector that sorts first. A table without
+rows gives none; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +32,6 @@ from pyspark.sql import types as T
 from . import common as C
 
 ORDERINGS, DIMS, BITS, BLOCK, CHUNK, SEED = 4, 8, 7, 2048, 8192, 11
-#: Chunks of queries at most, so that their statistics stay a few MB; chunks grow beyond that.
-MAX_CHUNKS = 4096
 _OUT = "query_id long, vec_id long, score double"
 
 
@@ -70,21 +73,44 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 1))
 
 
+#: Relative room for the rounding of a matrix product, and pairs that are scored anew at once.
+ROOM, PAIRS = 1e-12, 1 << 15
+
+
+def _thin(data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of ids, of equal vectors the k + 1 first."""
+    order = np.argsort(ids, kind="stable")
+    data, ids = np.ascontiguousarray(data[order] + 0.0), ids[order]
+    if len(ids) <= k + 1:
+        return data, ids
+    raw = data.view(np.dtype((np.void, data.itemsize * data.shape[1]))).ravel()
+    _, kind, count = np.unique(raw, return_inverse=True, return_counts=True)
+    if count.max() <= k + 1:
+        return data, ids
+    by = np.argsort(kind, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[by] = np.arange(len(ids)) - np.repeat(np.cumsum(count) - count, count)
+    keep = place <= k
+    return data[keep], ids[keep]
+
+
 def _best(queries: np.ndarray, qids: np.ndarray, least: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> pd.DataFrame:
     """Up to k best of the data for each query, no worse than ``least``, not the query's own row."""
     out = []
-    order = np.argsort(ids, kind="stable")
-    data, ids = data[order], ids[order]
+    data, ids = _thin(data, ids, k)
+    reach = float(np.linalg.norm(data, axis=1).max()) if len(data) else 0.0
     for a in range(0, len(queries), 512):
-        scores = queries[a : a + 512] @ data.T
+        asked = queries[a : a + 512]
+        room = ROOM * reach * np.linalg.norm(asked, axis=1)
+        scores = asked @ data.T
         scores[qids[a : a + 512, None] == ids[None, :]] = -np.inf
+        floor = least[a : a + 512]
         if len(ids) > k:
-            top = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-            floor = np.maximum(top, least[a : a + 512])
-        else:
-            floor = least[a : a + 512]
-        q, d = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        s = scores[q, d]
+            floor = np.maximum(-np.partition(-scores, k - 1, axis=1)[:, k - 1], floor)
+        q, d = np.nonzero((scores >= (floor - 2 * room)[:, None]) & np.isfinite(scores))
+        s = np.empty(len(q))
+        for b in range(0, len(q), PAIRS):
+            s[b : b + PAIRS] = (asked[q[b : b + PAIRS]] * data[d[b : b + PAIRS]]).sum(axis=1)
         order = np.lexsort((ids[d], -s, q))
         q, d, s = q[order], d[order], s[order]
         rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -100,7 +126,7 @@ def valid_vectors(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(fine)
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("vector") == (size[0].n if size else 0)).dropDuplicates(["id"])
+    return rows.where(F.size("vector") == (size[0].n if size else 0)).groupBy("id").agg(F.min("vector").alias("vector"))
 
 
 def search(table: DataFrame, queries: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, orderings: int = ORDERINGS, dims: int = DIMS, bits: int = BITS, block: int = BLOCK, complete: bool = True) -> DataFrame:
@@ -178,39 +204,43 @@ def _complete(base: DataFrame, found: DataFrame, n: int, k: int) -> DataFrame:
     """Rows at least as good as the k-th found, from all blocks that the bound leaves."""
     least = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     asks = base.where("asks").join(least, "id", "left").select("block", "id", "vector", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
-    span = max(1, -(-(n // BLOCK + 1) // MAX_CHUNKS))  # blocks along the curve whose queries are a chunk
-    per = max(1, asks.count() // max(1, n // BLOCK))
-    span = max(span, CHUNK // max(per, 1))
+    per = max(1, asks.count() // max(1, n // BLOCK))  # queries of a block
+    span = max(1, CHUNK // per)
     asks = C.materialize(asks.withColumn("chunk", F.floor(F.col("block") / span).cast("long")))
-
-    def spread(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(f["vector"])
-        c = m.mean(axis=0)
-        low = float(f["least"].min()) if "least" in f else 0.0
-        return pd.DataFrame({"g": [key[0]], "c": [c], "r": [float(np.linalg.norm(m - c, axis=1).max())], "low": [low]})
-
-    stats = "g long, c array<double>, r double, low double"
-    chunks = asks.groupBy("chunk").applyInPandas(spread, stats).orderBy("g").toPandas()
-    if not len(chunks):
-        return found.select("query_id", "vec_id", "score").limit(0)
-    qc, qr, low, names = _matrix(chunks["c"]), chunks["r"].to_numpy(), chunks["low"].to_numpy(), chunks["g"].to_numpy()
-
-    def needed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        m = _matrix(f["vector"])
-        c = m.mean(axis=0)
-        r = float(np.linalg.norm(m - c, axis=1).max())
-        bound = qc @ c + r * np.linalg.norm(qc, axis=1) + qr * np.linalg.norm(c) + qr * r
-        hit = names[bound * (1 + 1e-12) + 1e-12 >= low]
-        return pd.DataFrame({"block": np.full(len(hit), key[0], np.int64), "chunk": hit})
-
-    pairs = C.materialize(base.groupBy("block").applyInPandas(needed, "block long, chunk long"))
-    data = base.select("block", "id", "vector").join(pairs, "block")
-    # A chunk's queries go to each of its blocks.
-    to = asks.select("chunk", F.col("id").alias("query_id"), "vector", "least").join(pairs, "chunk")
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        return _best(_matrix(left["vector"]), left["query_id"].to_numpy(), left["least"].to_numpy(), _matrix(right["vector"]), right["id"].to_numpy(), k)
-
-    return to.groupBy("chunk", "block").cogroup(data.groupBy("chunk", "block")).applyInPandas(score, _OUT)
+    rows = base.select("id", "vector")
+    parts = None
+    for c in [r.chunk for r in asks.select("chunk").distinct().orderBy("chunk").collect()]:
+        chunk = asks.where(F.col("chunk") == c).toPandas()  # at most span blocks' queries
+        one = C.materialize(rows.mapInPandas(_scan(_matrix(chunk["vector"]), chunk["id"].to_numpy(), chunk["least"].to_numpy(), k), _OUT))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts if parts is not None else found.select("query_id", "vec_id", "score").limit(0)
+
+
+def _scan(queries: np.ndarray, qids: np.ndarray, least: np.ndarray, k: int):
+    """Each task's k best of its rows for each query of a chunk."""
+    centre = queries.mean(axis=0)
+    spread = float(np.linalg.norm(queries - centre, axis=1).max())
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best, floor = None, least.copy()
+        place = pd.Series(np.arange(len(qids)), index=qids)
+        for f in frames:
+            for a in range(0, len(f), BLOCK):
+                m, ids = _matrix(f["vector"].iloc[a : a + BLOCK]), f["id"].to_numpy()[a : a + BLOCK]
+                c = m.mean(axis=0)
+                r = float(np.linalg.norm(m - c, axis=1).max())
+                bound = centre @ c + r * np.linalg.norm(centre) + spread * np.linalg.norm(c) + spread * r
+                if bound * (1 + 1e-12) + 1e-12 < floor.min():
+                    continue
+                got = _best(queries, qids, floor, m, ids, k)
+                got = got if best is None else pd.concat([best, got])
+                got = got.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
+                best = got[got.groupby("query_id").cumcount() < k]
+                full = best.groupby("query_id")["score"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                at = place[full.index].to_numpy()
+                floor[at] = np.maximum(floor[at], full["min"].to_numpy())
+        if best is not None:
+            yield best
+
+    return scan
