@@ -10,7 +10,9 @@ a packer leaves at most a few bins unfilled. Token ids come from a cache of word
 neighbours. Texts with characters whose case or composition libraries treat unlike, or with special tokens, go to the
 tokenizer whole.
 
-Defined cases: null and empty texts are the end id alone; repeated rows are packed each.
+Defined cases: null and empty texts are the end id alone; repeated rows are packed each; of equal sizes the larger id and
+piece comes first, of equal costs the smaller gap is used. Very long texts are taken alone; a table without rows gives
+none; other columns are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -236,6 +238,7 @@ def pack(parts: DataFrame, *, length: int = LENGTH, packer_rows: int = PACKER_RO
         return rows.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
 
     full = parts.where(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(packers))
+    # The row's place in the written table is part of the hash, so that repeated rows spread over all packers.
+    dealt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(packers))
     rest = parts.where(F.col("length") < length).groupBy(dealt.alias("packer")).applyInPandas(put, schema)
     return full.unionByName(rest)
