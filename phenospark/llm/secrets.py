@@ -1,14 +1,17 @@
 """Secret scans: patterns of known kinds, and sliding-window Shannon entropy over candidate strings.
 
 Base kinds are found leftmost and non-overlapping: assignments of 12 characters or more to a key that names a secret,
-access keys, and hexadecimal runs. Beside them, candidate strings (runs of base-64 characters) that no base span
-covers are scanned by a window of ``WINDOW`` characters: its character counts, and with them the sum of c*log2(c), are
-updated by the character that comes and the one that goes, for each character class on its own. Windows whose entropy
-reaches the class's threshold make a span, joined where they overlap; windows that read as words and numbers don't.
-Thresholds are what nine in ten or more of uniform random windows of the class's 16, 36 or 64 characters reach. Strings on
-the allow-list (UUIDs, dotted or slashed paths, words of letters alone, long runs of digits, anything given) are left alone.
-
-Defined cases: null texts are empty; no span gives an empty string; spans are code points, end exclusive.
+access keys, and hexadecimal runs. Beside them, candidate strings (runs of base-64 characters) are scanned, without what
+a base span covers, by a window of ``WINDOW`` characters. The counts of its characters, with them the sum of c*log2(c),
+and the counts of its character classes are updated by the character that comes and the one that goes. The classes that a
+window holds tell its kind (16, 36 or 64 symbols), and the kind has the entropy to reach; windows that reach it make a
+span, joined where they overlap, unless they read as words and numbers. Thresholds are what nine in ten or more of uniform
+random windows of a kind reach. Candidates on the allow-list (UUIDs, dotted or slashed paths, words of letters alone, long
+runs of digits, anything given) are left alone.
+
+Defined cases: null texts are empty; no span gives an empty string; spans are code points, end exclusive; equal starts are
+in the order of kinds; repeated rows are scanned each. Time is linear in a text's length, very long ones are taken alone;
+a table without rows gives none; other columns are never read (or, in clean(), only passed on), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-#: Bits a character that a window must reach, by class of its candidate.
+#: Bits a character that a window must reach, by kind.
 THRESHOLDS = {"hex": 3.0, "lower": 3.5, "base64": 3.75}
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Forms that are no secrets.
@@ -42,10 +45,16 @@ _CHANGE = re.compile(r"(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 _CLOG = [0.0, 0.0] + [c * log2(c) for c in range(2, WINDOW + 2)]
 
 
-def char_class(s: str) -> str:
-    if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s):
-        return "hex"
-    return "lower" if re.fullmatch(r"[0-9a-z]+|[0-9A-Z]+", s) else "base64"
+#: Class of a character: digits, a-f, A-F, other small and other capital letters, signs.
+_CLASS = {c: k for k, cs in enumerate(("0123456789", "abcdef", "ABCDEF", "ghijklmnopqrstuvwxyz", "GHIJKLMNOPQRSTUVWXYZ", "+/_=-")) for c in cs}
+
+
+def window_kind(classes: list[int]) -> str:
+    """The kind of a window from the counts of its characters' classes."""
+    small, capital = classes[1] + classes[3], classes[2] + classes[4]
+    if classes[5] or small and capital:
+        return "base64"
+    return "lower" if classes[3] or classes[4] else "hex"
 
 
 def reads_as_words(s: str) -> bool:
@@ -56,22 +65,26 @@ def reads_as_words(s: str) -> bool:
 
 
 def entropy_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
-    """Spans of ``s`` whose windows reach the entropy of their class; counts are kept, never recounted."""
+    """Spans of ``s`` whose windows reach the entropy of their kind; counts are kept, never recounted."""
     if len(s) < window or ALLOWED.fullmatch(s):
         return []
-    kind = char_class(s)
-    least, counts, total, out = thresholds[kind], {}, 0.0, []
+    counts, classes, total, out = {}, [0] * 6, 0.0, []
     clog = _CLOG if window + 2 <= len(_CLOG) else [0.0, 0.0] + [c * log2(c) for c in range(2, window + 2)]
     for i, ch in enumerate(s):
         n = counts.get(ch, 0)
         counts[ch] = n + 1
+        classes[_CLASS[ch]] += 1
         total += clog[n + 1] - clog[n]
         if i >= window:
             old = s[i - window]
             n = counts[old]
             counts[old] = n - 1
+            classes[_CLASS[old]] -= 1
             total += clog[n - 1] - clog[n]
-        if i >= window - 1 and log2(window) - total / window >= least:
+        if i < window - 1:
+            continue
+        kind = window_kind(classes)
+        if log2(window) - total / window >= thresholds[kind]:
             a, b = i - window + 1, i + 1
             if kind != "hex" and reads_as_words(s[a:b]):
                 continue
@@ -82,16 +95,39 @@ def entropy_spans(s: str, window: int = WINDOW, thresholds: dict[str, float] = T
     return out
 
 
+def uncovered(start: int, end: int, covered: list[tuple[int, int]], at: int) -> tuple[list[tuple[int, int]], int]:
+    """What sorted spans, from place ``at`` on, leave of start:end, and the place to go on from for a later range."""
+    while at < len(covered) and covered[at][1] <= start:
+        at += 1
+    out, k = [], at
+    while k < len(covered) and covered[k][0] < end:
+        if covered[k][0] > start:
+            out.append((start, covered[k][0]))
+        start = max(start, covered[k][1])
+        k += 1
+    return (out + [(start, end)] if start < end else out), at
+
+
 def scan_text(text: str, allow: frozenset[str] = frozenset(), window: int = WINDOW) -> list[tuple[str, int, int]]:
     """(kind, start, end), by start, then kind as listed."""
     found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
     found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    covered = sorted((s, e) for _, s, e in found)
+    covered: list[tuple[int, int]] = []  # joined, so that starts and ends rise
+    for s, e in sorted((s, e) for _, s, e in found):
+        if covered and s <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(e, covered[-1][1]))
+        else:
+            covered.append((s, e))
+    at = 0
     for m in _CANDIDATE.finditer(text):
-        if m[0] in allow or any(s < m.end() and m.start() < e for s, e in covered):
+        if m[0] in allow:
             continue
-        found += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0], window)]
+        parts, at = uncovered(m.start(), m.end(), covered, at)
+        if len(parts) == 1 and parts[0] == m.span():
+            found += [("entropy", m.start() + a, m.start() + b) for a, b in entropy_spans(m[0], window)]
+        else:
+            found += [("entropy", s + a, s + b) for s, e in parts for a, b in entropy_spans(text[s:e], window)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
