@@ -6,8 +6,14 @@ tokens are matched against the trie of its terms: a term's own spelling, a stem'
 letters or more, a spelling one edit away that no clean training row holds. The words around a hit tell quotation from
 abuse: inside quotation marks or beside a reporting word it counts half. score = 1 - product of (1 - weight).
 
+The lexicon needs no cap: a term is in at least ``MIN_SHARE`` of the sampled toxic rows, so that there are at most
+1 / MIN_SHARE times as many terms as a row has words and stems on average; the clean tokens that only look like one are
+among those of the sampled clean rows.
+
 Defined cases: null and empty texts score 0; a row whose label is null is no training row; of repeated label rows any
-toxic one counts; without labels the lexicon is empty.
+toxic one counts, repeated documents count each; without labels the lexicon is empty; of terms equally near the one that
+sorts first is told. Very long texts are taken alone; a table without rows gives none; other columns are never read (or,
+in clean(), only passed on), whatever their names.
 """
 
 from __future__ import annotations
@@ -24,8 +30,6 @@ from . import common as C
 
 SAMPLE = 10_000
 MIN_SHARE, MIN_SUPPORT, MIN_RATIO, MIN_PRECISION = 0.02, 5, 20.0, 0.85
-#: Terms learned at most: the most frequent in toxic rows.
-MAX_TERMS = 5_000
 STEM = (4, 10)
 FUZZY_FROM, FUZZY_WEIGHT, QUOTED = 5, 0.75, 0.5
 CONTEXT = 6
@@ -163,7 +167,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col
     n0, n1 = counts.where("term = ' '").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
     least = max(MIN_SUPPORT, MIN_SHARE * n1)
     ratio = ((F.col("n1") + 0.5) / (n1 + 1)) / ((F.col("n0") + 0.5) / (n0 + 1))
-    got = counts.where(f"term <> ' ' and n1 >= {least}").where(ratio >= min(MIN_RATIO, (n0 + 1) * 0.5)).where(f"n1 + 0.5 >= {MIN_PRECISION} * (n0 + n1 + 1)").orderBy(F.desc("n1"), "term").limit(MAX_TERMS).collect()
+    got = counts.where(f"term <> ' ' and n1 >= {least}").where(ratio >= min(MIN_RATIO, (n0 + 1) * 0.5)).where(f"n1 + 0.5 >= {MIN_PRECISION} * (n0 + n1 + 1)").collect()
     lexicon = Lexicon(choose({r.term: (r.n0, r.n1) for r in got}))
     if not lexicon.terms:
         return lexicon
@@ -174,7 +178,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, id_col
             yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["term"])
 
     clean = counts.where("n0 > 0 and term <> ' ' and not endswith(term, '~')").where(F.length("term").between(FUZZY_FROM - 1, 1 + max(map(len, lexicon.terms)))).select("term")
-    known = clean.mapInArrow(alike, "term string").orderBy("term").limit(20 * MAX_TERMS).collect()
+    known = clean.mapInArrow(alike, "term string").collect()
     return Lexicon(lexicon.terms, frozenset(r.term for r in known))
 
 
