@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -240,17 +240,20 @@ def passes(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1
 
 
-def only(df: DataFrame, id_col: str, bits: np.ndarray) -> DataFrame:
-    """The rows of df whose id may be among those of the filter."""
+def only(df: DataFrame, id_col: str, bits: np.ndarray, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str | None = None) -> DataFrame:
+    """The rows of df whose id may be among those of the filter; ``then`` makes others (``schema``) of them in the same
+    worker."""
     names = df.columns
     numbered = df.withColumn("__slot", slot_of(F.col(id_col), bits))
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = pa.array(passes(bits, batch.column(len(names)).to_numpy(zero_copy_only=False)), pa.bool_())
             yield batch.filter(keep).select(list(range(len(names))))
 
-    return numbered.mapInArrow(scan, df.schema)
+    if then is None:
+        return numbered.mapInArrow(kept, df.schema)
+    return numbered.mapInArrow(lambda batches: then(kept(batches)), schema)
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

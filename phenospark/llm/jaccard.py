@@ -44,6 +44,8 @@ COUNT_SLOTS = 1 << 16
 #: Holders of a token up to which all its pairs are made; mean size of the first cells; rounds at most, and the pairs for each
 #: row of the larger tokens below which what remains is compared at once.
 SMALL, CELL, ROUNDS, FEW = 16, 8, 3, 4
+#: Holders of a token in a range of sizes that are compared in one key, with all that may fit them, at the end.
+TOGETHER = 256
 #: Bytes of text taken at once, and 64-bit words of a set's bitmap.
 CHUNK_BYTES, MAP_WORDS = 1 << 18, 2
 
@@ -174,17 +176,6 @@ def _sift(percent: int):
     return scan
 
 
-def _verify(percent: int):
-    """Pairs that are similar enough, by their whole sets."""
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            ok = [linked(np.ascontiguousarray(x, np.int64).view(np.uint64), np.ascontiguousarray(y, np.int64).view(np.uint64), percent) for x, y in zip(f["x"], f["y"], strict=True)]
-            yield f.loc[ok, ["u", "v"]]
-
-    return scan
-
-
 def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row with an id or not."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -193,14 +184,15 @@ def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Classes of equal sets; the representative is the smallest id. Of unlike sets under one id that of least print stands.
     own = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("print", "n")).alias("s"))
     reps = C.materialize(own.groupBy(F.col("s.print").alias("print")).agg(F.min("doc_id").alias("node"), F.max("s.n").alias("n")))
-    links = _links(docs, told, reps, shingle, percent)
-    rep = reps.select("print", "node")
-    out = rows.join(rep, "print", "left").join(C.components(links), "node", "left")
+    links, read = _links(docs, told, reps, shingle, percent)
+    found = C.components(links)
+    C.drop(*read)
+    out = rows.join(reps.select("print", "node"), "print", "left").join(found, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links between representatives, enough for their components."""
+def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Links between representatives, enough for their components, and the tables that only the links are read from."""
     slots = told.where("counts is not null").select(F.posexplode("counts").alias("slot", "c")).where("c > 0").groupBy("slot").agg(F.sum("c").alias("c")).toPandas()
     counts = np.zeros(COUNT_SLOTS, np.int64)
     counts[slots["slot"].to_numpy(np.int64)] = slots["c"].to_numpy(np.int64)
@@ -208,10 +200,14 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, print string, tokens array<long>, sketch array<int>, map array<long>, third binary").where("size(tokens) > 0")
     table = C.materialize(table.join(reps, ["node", "print"]).drop("print"))
     held = table.select(F.posexplode("tokens").alias("place", "token"), "node")
-    common = held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m")
-    posts = C.materialize(held.join(common, "token").join(table.select("node", "n", "map"), "node"))
-    sketches = C.materialize(table.select("node", "sketch", "third"))
-    C.drop(table)
+    # One shuffle of all prefix tokens at a time, each gone before the next; what comes of them is far smaller.
+    common = C.materialize(held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m"))
+    places = C.materialize(held.join(common, "token"))
+    sketches = C.materialize(table.select("node", "n", "map", "sketch", "third"))
+    C.drop(table, common)
+    posts = C.materialize(places.join(sketches.select("node", "n", "map"), "node"))
+    C.drop(places)
+    read = [posts, sketches]
     # Common tokens from this one on, at most, against those that the similarity asks for (sizes that fit included).
     differ = " + ".join(f"bit_count(mu[{k}] ^ mv[{k}])" for k in range(MAP_WORDS))
     fits = f"{100 + percent} * least(nu - iu, nv - iv) >= {percent} * (nu + nv) and {100 + percent} * (nu + nv - ({differ})) >= {2 * percent} * (nu + nv)"
@@ -222,15 +218,17 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
         pairs = C.materialize(pairs)
-        some = C.only(sketches, "node", C.id_filter(F.col("node"), ends(pairs)))
+        some = C.only(sketches.select("node", "sketch", "third"), "node", C.id_filter(F.col("node"), ends(pairs)))
         both = pairs.join(some.toDF("u", "x", "tx"), "u").join(some.toDF("v", "y", "ty"), "v")
         near = C.materialize(both.mapInPandas(_sift(percent), "u long, v long").distinct())
         nodes = ends(near)
-        sets = C.only(texts.select(F.col("doc_id").alias("node"), "text"), "node", C.id_filter(F.col("node"), nodes)).mapInArrow(_sets(shingle), "node long, print string, tokens array<long>")
+        sets = C.only(texts.select(F.col("doc_id").alias("node"), "text"), "node", C.id_filter(F.col("node"), nodes), _sets(shingle), "node long, print string, tokens array<long>")
         sets = C.materialize(sets.join(reps.join(nodes, "node", "left_semi").select("node", "print"), ["node", "print"]).groupBy("node").agg(F.first("tokens").alias("tokens")))
         both = near.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
-        found = C.materialize(both.mapInPandas(_verify(percent), "u long, v long"))
+        both = both.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+        found = C.materialize(both.where(f"100 * common >= {percent} * (n - common)").select("u", "v"))
         C.drop(pairs, near, sets)
+        read.append(found)
         return found
 
     def side(rows: DataFrame, x: str, *keys) -> DataFrame:
@@ -241,11 +239,15 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         return a.join(b, on).where(f"u < v and cu <> cv and {fits}").select("u", "nu", "v", "nv").distinct()
 
     def ranged(left: DataFrame) -> DataFrame:
-        """The same, by ranges of size within which sizes can fit."""
+        """The same, by ranges of size within which sizes can fit. The holders of a token in a range are dealt out to cells
+        of about ``TOGETHER``, and each that may fit them goes to all of these, so that no key holds all pairs of a token."""
         step = F.floor(F.log("n") / float(np.log(100 / percent)) * (1 - 1e-9)).cast("int") if percent < 100 else F.col("n").cast("int")
         sized = left.withColumn("range", step)
+        cells = sized.groupBy("token", "range").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("cells"))
         near = F.explode(F.array(F.col("range"), F.col("range") - 1, F.col("range") + 1)).alias("range")
-        return apart(side(sized, "u", near), side(sized, "v", "range"), ["token", "range"])
+        dealt = side(sized.join(cells, ["token", "range"]), "v", "range", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int").alias("cell"))
+        every = side(sized, "u", near).join(cells, ["token", "range"]).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).drop("cells")
+        return apart(every, dealt, ["token", "range", "cell"])
 
     small = posts.where(f"m <= {SMALL}").withColumn("comp", F.col("node"))
     left = posts.where(f"m > {SMALL}").withColumn("comp", F.col("node"))
@@ -271,11 +273,10 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         C.drop(group, *([past] if turn else []))
         by = left.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("q"))
         rows, rest = by.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0))).first()
-        if not rest:
-            return links
-        if rest <= FEW * rows:
+        if not rest or rest <= FEW * rows:
             break
-    return links.unionByName(verified(ranged(left)))
+    read.append(left)
+    return (links.unionByName(verified(ranged(left))) if rest else links), read
 
 
 def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
