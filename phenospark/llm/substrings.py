@@ -149,8 +149,9 @@ def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     base = C.materialize(docs.select("doc_id", "text", "key").mapInArrow(_anchors(sizes[0], run), "doc_id long, key long, n long, sha string, hashes array<long>, places array<int>"))
     rows = base.select("doc_id", "key", "n", "sha")
-    earliest = rows.where(f"n >= {window} and doc_id is not null").groupBy("sha").agg(F.min("doc_id").alias("first_id"))
-    rows = C.materialize(rows.join(earliest, "sha", "left"))
+    alone = F.when((F.col("n") >= window) & F.col("doc_id").isNotNull(), F.col("doc_id"))
+    earliest = C.materialize(rows.where(alone.isNotNull()).groupBy("sha").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sha", F.col("lo").alias("first_id")))
+    rows = C.materialize(rows.join(earliest, "sha", "left").withColumn("first_id", F.when(alone.isNotNull(), F.coalesce("first_id", "doc_id"))))
     # Windows of the shortest level that more than one document holds; copies are left out.
     first = rows.where("doc_id = first_id").select("doc_id", "key").distinct()
     own = base.join(first, ["doc_id", "key"], "left_semi")
