@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, neighbours, packing, pages, secrets, substrings, toxicity
+from . import chat, decontaminate, jaccard, langid, neighbours, packing, pages, phrases, quality, runs, secrets, substrings, toxicity
 from .common import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,26 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.predict(documents, langid.fit(documents)))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality.digest(quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels"))))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In a tenth of the documents, chosen by the hash of their id, the words from a place on become periodic."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    planted = F.expr(f"""concat(slice(ws, 1, a), slice(flatten(array_repeat(slice(ws, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a))""")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    chosen = F.col("h") % 10 == 0
+    words = docs.withColumn("ws", F.when(chosen, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))).withColumn("n", F.size("ws"))
+    words = words.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int"))).withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    return runs.digest(runs.find(words.select("doc_id", F.when(chosen & (F.col("n") > 0), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_curve_neighbours, op2_toxicity, op3_page_text, op4_jaccard_join, op5_secrets, op6_substrings, op7_decontaminate, op8_packing, op9_chat, op10_language, pipeline)
+    ops = (op1_curve_neighbours, op2_toxicity, op3_page_text, op4_jaccard_join, op5_secrets, op6_substrings, op7_decontaminate, op8_packing, op9_chat, op10_language, op11_phrases, op12_quality, op13_runs, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -114,6 +134,21 @@ n as (select doc_id, count(distinct pos) as n_hit from (select doc_id, unnest(ra
 t as (select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct doc_id, item_id::varchar as id from h) group by doc_id)
 select w.doc_id, len(w.ws)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from w left join n using (doc_id) left join t using (doc_id)""",
+        "op11_phrases": rf"""
+with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p),
+t as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, range(1, 6) as s(k) where len(ws) >= k)),
+f as (select lang, k, phrase, count(*)::hugeint as f from g group by all having count(*) >= 100),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as ws from f where k >= 2),
+x as (select lang, phrase, k, a, ws, unnest(range(1, k)) as cut from c),
+y as (select x.lang, x.phrase, x.k, x.a, x.cut, l.f as l, r.f as r, t.n, 1000 * x.a * t.n // (l.f * r.f) as score from x
+  join f l on l.lang = x.lang and l.phrase = array_to_string(x.ws[1:x.cut], ' ') join f r on r.lang = x.lang and r.phrase = array_to_string(x.ws[x.cut + 1:], ' ') join t on t.lang = x.lang),
+z as (select * from y qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+d as (select distinct s.lang, s.phrase from c s join (select lang, k, a, array_to_string(ws[i:i + m - 1], ' ') as part
+  from (select lang, k, a, ws, m, unnest(range(1, k - m + 2)) as i from c, range(2, 5) as q(m) where m < k)) b on b.lang = s.lang and b.part = s.phrase and 100 * b.a >= 100 * s.a),
+o as (select z.*, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from z anti join d using (lang, phrase))
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o where rank <= 2000""",
         "op9_chat": rf"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
   union all select -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' union all select -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok')
