@@ -3,11 +3,11 @@
 Texts are lower-cased (A-Z), split at ``[.,;:!?\\x0A-\\x0D]`` into pieces and those into words ``[^\\x20\\x09]+``; everything is
 counted by language. Each task keeps a sketch of two rows of cells; the sketches are merged block by block, and a
 phrase can only be frequent if both its cells reach the support, since cells never count too little. Words are sketched
-first, then the phrases all of whose words passed. Only phrases that pass together with all their parts are counted exactly, by
-their text, so that nothing frequent is lost and nothing that the sketch let through by chance stays. Cells count
-no further than the support, which is all that is asked of them.
+first, then pairs of words that passed, then longer phrases all of whose pairs passed. Only phrases that pass together with
+all their parts are counted exactly, by their text, so that nothing frequent is lost and nothing that a sketch let through by
+chance stays. Cells count no further than the support, which is all that is asked of them.
 
-A sketch grows with the corpus, up to 2**MAX_BITS cells a row. Where the corpus asks for more (some 2 * 10**9 occurrences at
+A sketch grows with the corpus, up to 2**MAX_BITS cells a row. Where the corpus asks for more (some 4 * 10**9 occurrences at
 a support of 100, in proportion to the support), more phrases pass by chance and the exact count shuffles more; the result is
 the same.
 
@@ -116,17 +116,39 @@ class Sketch:
         self.size = 0
 
     def blocks(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(block, places, counts); without places the counts are those of all its cells."""
+        """(block, gaps, counts), compressed; without gaps the counts are those of all its cells."""
         self.flush()
         for r, row in enumerate(self.rows):
             for b in range(len(row) // BLOCK):
                 part = row[b * BLOCK : (b + 1) * BLOCK]
                 at = np.flatnonzero(part)
-                if len(at) * (2 + part.itemsize) < part.nbytes:
-                    if len(at):
-                        yield r << 32 | b, at.astype(np.uint16).tobytes(), part[at].tobytes()
-                else:
-                    yield r << 32 | b, b"", part.tobytes()
+                if len(at) > BLOCK // 12:
+                    yield r << 32 | b, b"", _pack(part)
+                elif len(at):
+                    yield r << 32 | b, _pack(gaps(at)), _pack(part[at])
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return len(x).to_bytes(4, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, kind: np.dtype) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    return np.frombuffer(pa.decompress(raw[4:], n * kind.itemsize, "zstd", asbytes=True), kind)
+
+
+def gaps(at: np.ndarray) -> np.ndarray:
+    """Rising places as the cells left out before each, in bytes; 255 goes on."""
+    gap = np.diff(at, prepend=-1) - 1
+    last = np.cumsum(gap // 255 + 1) - 1
+    out = np.full(last[-1] + 1, 255, np.uint8)
+    out[last] = gap % 255
+    return out
+
+
+def places(gap: np.ndarray) -> np.ndarray:
+    last = np.flatnonzero(gap < 255)
+    return np.cumsum(gap.astype(np.int64))[last] + np.arange(len(last))
 
 
 def _texts(documents: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -164,8 +186,8 @@ def sketch(texts: DataFrame, bits: int, support: int, choose: Callable[[Pieces],
             for block, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block not in sums:
                     sums[block] = np.zeros(BLOCK, kind)
-                where = np.frombuffer(at, np.uint16) if at else slice(None)
-                total = sums[block][where].astype(np.int64) + np.frombuffer(n, kind)
+                where = places(_unpack(at, np.dtype(np.uint8))) if at else slice(None)
+                total = sums[block][where].astype(np.int64) + _unpack(n, kind)
                 sums[block][where] = np.minimum(total, support)
         for block, total in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(total >= support, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
@@ -179,8 +201,21 @@ def sketch(texts: DataFrame, bits: int, support: int, choose: Callable[[Pieces],
 
 
 def bits_for(occurrences: int, support: int) -> int:
-    """Cells for a mean of a third of the support."""
-    return min(max(int(3 * occurrences / support).bit_length(), MIN_BITS), MAX_BITS)
+    """Cells for a mean of a third to two thirds of the support."""
+    return min(max(int(1.5 * occurrences / support).bit_length(), MIN_BITS), MAX_BITS)
+
+
+def chains(pieces: Pieces, most: int, known: list[Frequent]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(k, places, hashes, which may be frequent): those whose parts may be, and that pass the sketch of their length,
+    if it is known: of words, of pairs, and of all that is longer."""
+    ok = np.ones(len(pieces.text) + 1, bool)
+    for k, at, h in pieces.levels(most):
+        own = ok[at] & ok[at + 1] if k > 1 else ok[at]  # both phrases of one word less
+        if min(k, 3) <= len(known):
+            own[own] = known[min(k, 3) - 1].may(h[own])
+        yield k, at, h, own
+        ok = np.zeros(len(pieces.text) + 1, bool)
+        ok[at] = own
 
 
 def _phrases(pieces: Pieces, k: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -202,22 +237,13 @@ def count(documents: DataFrame, *, support: int = SUPPORT, most: int = MOST_WORD
     language a row with a null phrase and k = 0 has its number of words. drop() deletes it."""
     texts = _texts(documents, text_col, lang_col)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    some = size // 5  # words, about
-    words = sketch(texts, bits_for(some, support), support, lambda pieces: (h for _, _, h in pieces.levels(1)))
-
-    def passing(pieces: Pieces) -> Iterator[np.ndarray]:
-        ok = words.may(pieces.words.hash ^ pieces.salt)
-        for k, at, h in pieces.levels(most):
-            if k > 1:
-                chain = chain[at] & ok[at + k - 1]
-                full = np.zeros(len(ok), bool)
-                full[at] = chain
-                yield h[chain]
-                chain = full
-            else:
-                chain = ok
-
-    longer = sketch(texts, bits_for((most - 1) * some, support), support, passing)
+    some, known = size // 5, []  # words, about
+    for first, last in ((1, 1), (2, 2), (3, most))[: min(most, 3)]:
+
+        def choose(pieces: Pieces, first: int = first, last: int = last, known: tuple = tuple(known)) -> Iterator[np.ndarray]:
+            return (h[own] for k, _, h, own in chains(pieces, last, known) if k >= first)
+
+        known.append(sketch(texts, bits_for((last - first + 1) * some, support), support, choose))
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pieces, langs in _chunks(batches):
@@ -225,18 +251,8 @@ def count(documents: DataFrame, *, support: int = SUPPORT, most: int = MOST_WORD
             yield _rows([None] * len(langs), langs, np.zeros(len(langs), np.int32), per)
             if not len(pieces.text):
                 continue
-            ok = words.may(pieces.words.hash ^ pieces.salt)
             other = C._range_hash(C._OTHER[pieces.words.buf], pieces.words.start, pieces.words.end)
-            for (k, at, h), (_, _, check) in zip(pieces.levels(most), pieces.levels(most, other), strict=True):
-                if k > 1:
-                    # Both phrases of one word less have to pass, too.
-                    own = ok[at] & ok[at + 1]
-                    own[own] = longer.may(h[own])
-                else:
-                    own = ok
-                full = np.zeros(len(pieces.text), bool)
-                full[at] = own
-                ok = full
+            for (k, at, h, own), (_, _, check) in zip(chains(pieces, most, known), pieces.levels(most, other), strict=True):
                 at, h, check = at[own], h[own], check[own]
                 _, first, group = np.unique(h, return_index=True, return_inverse=True)
                 odd = check != check[first][group]  # two phrases of one hash: the second one's places are told one by one

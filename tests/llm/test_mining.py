@@ -154,13 +154,18 @@ def test_sketch_never_counts_too_little(support):
     sums = np.zeros((2, 1 << bits), np.int64)
     for part in parts:
         for block, at, n in part.blocks():
-            n = np.frombuffer(n, phrases._counter(support)).astype(np.int64)
-            sums[block >> 32, np.frombuffer(at, np.uint16) if at else slice(None)] += n
+            n = phrases._unpack(n, phrases._counter(support)).astype(np.int64)
+            sums[block >> 32, phrases.places(phrases._unpack(at, np.dtype(np.uint8))) if at else slice(None)] += n
     bitmap = np.packbits(sums >= support, axis=1, bitorder="little")
     ok = phrases.Frequent(bits, bitmap).may(h)
     assert ok[:10].all() and ok[10:].mean() < 0.01
 
 
+def test_gaps():
+    for at in ([0], [65535], [0, 1, 2], [254, 255, 256, 511, 2000, 65535], list(range(0, 65536, 255))):
+        assert phrases.places(phrases.gaps(np.array(at))).tolist() == at
+
+
 def test_phrase_scores_are_exact(spark):
     big = 10**14 + 7
     rows = [("en", None, 0, 9 * 10**15 + 1), ("en", "a", 1, big), ("en", "b", 1, big + 2), ("en", "a b", 2, big - 5)]
