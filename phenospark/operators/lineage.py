@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder: spark.checkpoint.dir, or a folder of our own where none is set and all runs
-    in this process (tests)."""
-    spark = df.sparkSession
+
+def shared(spark: SparkSession) -> str:
+    """The checkpoint folder: spark.checkpoint.dir, or a folder of our own where none is set and all runs in this process
+    (tests)."""
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found:
@@ -19,4 +20,19 @@ def cut(df: DataFrame) -> DataFrame:
 
             found = f"file://{tempfile.mkdtemp(prefix='phenospark-')}"
         spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint()
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, by columns, and read again: lineage ends here, and a lost executor takes nothing
+    with it."""
+    path = f"{shared(df.sparkSession)}/phenospark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its source has fewer splits than there are (one file of one row group, say); a table
+    of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,52 +1,142 @@
-"""Exact k-mer similarity and single-linkage clusters."""
+"""Similar k-mer sets and their single-linkage clusters, by an index of sketches and exact verification."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MASH_K, MASH_THRESHOLD, SKETCH
 from ..functions.scores import mash_distance, mash_jaccard
+from . import sets
 from .lineage import cut
 
+#: Least tokens of a set that the index holds, and the chance with which a pair at the threshold may be missed.
+KEYS, MISS = 64, 1e-9
+
+
+def surely_shared(size: int, share: float) -> int:
+    """How many of ``size`` drawn tokens two sets share at least, but for a chance of MISS, where ``share`` of all are."""
+    below, c = 0.0, 0
+    while c < size:
+        below += math.comb(size, c) * share**c * (1 - share) ** (size - c)
+        if below > MISS:
+            break
+        c += 1
+    return c
+
+
+def heads(tokens: DataFrame) -> DataFrame:
+    """One row (id, n, f1, f2, sketch) for each set that isn't empty."""
+    return tokens.where("sketch is not null and n > 0").select("id", "n", "f1", "f2", "sketch")
+
+
+def classes(tokens: DataFrame) -> DataFrame:
+    """(id, rep): equal sets are one class, told by its smallest id."""
+    found = heads(tokens).select("id", "n", "f1", "f2")
+    reps = found.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
+    return found.join(reps, ["n", "f1", "f2"]).select("id", "rep")
+
+
+def representatives(tokens: DataFrame, member: DataFrame) -> DataFrame:
+    """(id, n, keys) of one set of each class."""
+    return heads(tokens).select("id", "n", F.slice("sketch", 1, KEYS).alias("keys")).join(member.where("id = rep").select("id"), "id")
 
-def shingles(docs: DataFrame, k: int) -> DataFrame:
-    """Distinct (id, token) word k-mers of ``text``, hashed to 128 bits before any shuffle."""
-    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
-    grams = F.when(F.size("_w") >= k, F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.md5(F.array_join(F.slice("_w", i, k), " "))))
-    return docs.select("id", words.alias("_w")).select("id", F.explode(F.array_distinct(grams)).alias("token"))
 
+def index(reps: DataFrame, t: float) -> DataFrame:
+    """(id, n, token): the tokens by which sets (id, n, keys) meet, and that others have, too.
 
-def similar_pairs(tokens: DataFrame, threshold: float, k: int, most: int = 64) -> DataFrame:
-    """(a, b, jaccard, distance) of pairs closer than a Mash distance, by sizes and prefixes of rare tokens.
+    Of the least KEYS tokens of the union of two sets, those in both are among the least KEYS of each. With a Jaccard
+    similarity of ``t`` that is surely_shared(KEYS, t) of them but for a chance of MISS (for fewer tokens than KEYS: t of
+    them, for sure); so a pair meets in one of all but so many of a set's rarest ones."""
+    c = F.lit(surely_shared(KEYS, t))
+    shared = F.when(F.col("n") < KEYS, F.least(F.ceil(F.lit(t) * F.col("n") - 1e-9), c)).otherwise(c)
+    held = reps.select("id", "n", F.explode("keys").alias("token"))
+    often = held.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")  # rarer ones come first and meet nothing
+    ranked = held.join(often, "token").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ts"))  # KEYS at most
+    first = F.slice("ts", F.lit(1), F.greatest(F.size("ts") - F.greatest(shared, F.lit(1)) + 1, F.lit(0)).cast("int"))
+    return ranked.select("id", "n", F.explode(first).alias("t")).select("id", "n", F.col("t.token").alias("token"))
 
-    A pair above the threshold shares one of the n - ceil(t*n) + 1 rarest tokens of each side; only those are joined.
-    ``most`` ranks the tokens' frequency classes, no pair is dropped by it."""
+
+def verified(tokens: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) of at least ``t``, exactly; sketches rule out most others before the sets are
+    fetched, part by part, so that no set is a row."""
+    known = heads(tokens)
+    x, y = (known.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
+    may = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= F.when(F.size(union) < SKETCH, 0).otherwise(surely_shared(SKETCH, t))
+    pairs = cut(pairs)  # of known size, so that few pairs are broadcast and no set is shuffled for them
+    near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= F.lit(t - 1e-9) * F.greatest("na", "nb")).where(may).select("a", "b", "na", "nb")
+    near = cut(near)
+    u, v = (tokens.select(F.col("id").alias(c), "part", F.col("tokens").alias(f"t{c}")) for c in "ab")
+    both = near.join(u, "a").join(v, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("i"))
+    return both.groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("i")).select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
+
+
+def _sides(held: DataFrame, *more: str) -> list[DataFrame]:
+    return [held.select("token", F.col("id").alias(c), F.col("n").alias(f"n{c}"), *[F.col(m).alias(f"{m}{c}") for m in more]) for c in "ab"]
+
+
+def similar_pairs(tokens: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(a, b, jaccard, distance) of all pairs of sets (of sets.kmers or sets.shingles) closer than a Mash distance. Classes of
+    equal sets meet once; their pairs are spread over the members at the end, since all pairs are asked for."""
     t = mash_jaccard(threshold, k)
-    df = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(df, "token").select("id", F.struct(F.least(F.col("df"), F.lit(most)).alias("df"), "token").alias("t"))
-    sets = ranked.groupBy("id").agg(F.array_sort(F.collect_list("t")).alias("ts")).select("id", F.size("ts").alias("n"), F.transform("ts", lambda x: x["token"]).alias("ts"))
-    prefix = sets.select("id", "n", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.lit(t) * F.col("n")) + 1).cast("int"))).alias("token"))
-    a, b = (prefix.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), "token") for x in "ab")
-    pairs = a.join(b, "token").where(f"a < b and least(na, nb) >= {t} * greatest(na, nb)").select("a", "b").distinct()
-    x, y = (sets.select(F.col("id").alias(c), F.col("ts").alias(f"t{c}")) for c in "ab")
-    both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("ta", "tb")))
-    j = F.col("i") / (F.size("ta") + F.size("tb") - F.col("i"))
-    return both.select("a", "b", j.alias("jaccard")).withColumn("distance", mash_distance(F.col("jaccard"), k)).where(F.col("distance") < threshold)
+    member = cut(classes(tokens))
+    reps = representatives(tokens, member)
+    x, y = _sides(cut(index(reps, t)))
+    pairs = x.join(y, "token").where("a < b").where(F.least("na", "nb") >= F.lit(t - 1e-9) * F.greatest("na", "nb")).select("a", "b").distinct()
+    near = cut(verified(tokens, pairs, t))
+    u, v = (member.select(F.col("rep").alias(c), F.col("id").alias(f"m{c}")) for c in "ab")
+    spread = near.join(u, "a").join(v, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "jaccard")
+    same = u.join(v.withColumnRenamed("b", "a"), "a").where("ma < mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"), F.lit(1.0).alias("jaccard"))
+    return spread.unionByName(same).withColumn("distance", mash_distance(F.col("jaccard"), k)).where(F.col("distance") < threshold)
+
+
+def linked(tokens: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(id, root) of the sets that aren't empty: single linkage below a Mash distance.
+
+    All holders of a token are compared with one of them first; only holders that are still apart then are compared with
+    each other, so that a large group of near copies takes as many comparisons as it has members."""
+    t = mash_jaccard(threshold, k)
+    member = cut(classes(tokens))
+    reps = representatives(tokens, member)
+    held = cut(index(reps, t))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        return cut(verified(tokens, pairs.distinct(), t).withColumn("distance", mash_distance(F.col("jaccard"), k)).where(F.col("distance") < threshold).select("a", "b"))
+
+    hubs = held.groupBy("token").agg(F.min("id").alias("a"))
+    edges = near(held.join(hubs, "token").select("a", F.col("id").alias("b")).where("a <> b"))
+    nodes = member.where("id = rep").select("id")
+    roots = connected(nodes, edges)
+    apart = held.join(roots, "id")
+    mixed = apart.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    x, y = _sides(apart.join(mixed, "token"), "root")
+    size = F.least("na", "nb") >= F.lit(t - 1e-9) * F.greatest("na", "nb")
+    rest = x.join(y, "token").where("roota < rootb").where(size).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = near(rest)
+    if more.limit(1).count():
+        roots = connected(nodes, edges.unionByName(more))
+    return member.join(roots.select(F.col("id").alias("rep"), "root"), "rep").select("id", "root")
 
 
 def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, root): the smallest id reachable, by label propagation with pointer jumping, checkpointed each round."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = nodes.select("id", F.col("id").alias("root"))
+    """(id, root): the smallest id reachable, by star contraction of the edges; nodes without one are their own root.
+
+    A round hangs each node's larger neighbours, then its smaller ones, on its smallest; edges only get fewer. It ends when
+    every node hangs on a root."""
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
-        near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("root", F.coalesce("m", "root")).alias("to"), "root")
-        jump = step.select(F.col("id").alias("k"), F.col("to").alias("far"))
-        step = cut(step.join(jump, F.col("to") == F.col("k"), "left").select("id", F.least("to", "far").alias("root"), (F.least("to", "far") < F.col("root")).alias("moved")))
-        labels = step.select("id", "root")
-        if not step.where("moved").limit(1).count():
-            return labels
+        both = e.union(e.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
+        e = cut(small.where("u <> v").distinct())
+        hung = e.groupBy("u").agg(F.count("*").alias("n")).join(e.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1)), "u", "left")
+        if not hung.where("n > 1 or root = 1").limit(1).count():
+            return nodes.join(e, nodes["id"] == e["u"], "left").select("id", F.coalesce("v", "id").alias("root"))
     raise RuntimeError("labels did not settle")
 
 
@@ -60,20 +150,9 @@ def cluster_labels(roots: DataFrame) -> DataFrame:
     return roots.join(numbered, "root").select("id", F.format_string("CL-%04d", "k").alias("cluster_id"))
 
 
-def kmers(sequences: DataFrame, k: int = MASH_K) -> DataFrame:
-    """Distinct (id, token) of the k-mers of each ``sequence``, those across contig borders included, as 64-bit hashes."""
-    at = F.sequence(F.lit(1), F.length("sequence") - k + 1)
-    tokens = F.when(F.length("sequence") >= k, F.transform(at, lambda i: F.xxhash64(F.substr("sequence", i, F.lit(k)))))
-    return sequences.select("id", F.explode(F.array_distinct(tokens)).alias("token"))
-
-
-def sketch(tokens: DataFrame, size: int = SKETCH) -> DataFrame:
-    """(id, sketch): the ``size`` least hashes of each set (all of a smaller one). A hash is only kept where it can be
-    among them: each map task keeps its own least ones first."""
-    hashed = tokens.select("id", F.xxhash64("token", F.lit(1)).alias("h"))
-    w = Window.partitionBy("id").orderBy("h")
-    least = hashed.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size)
-    return least.groupBy("id").agg(F.array_sort(F.collect_list("h")).alias("sketch"))
+def sketch(tokens: DataFrame) -> DataFrame:
+    """(id, sketch): the SKETCH least tokens of each set that isn't empty (all of a smaller one)."""
+    return heads(tokens).select("id", "sketch")
 
 
 def sketch_jaccard(x: Column, y: Column, size: int = SKETCH) -> Column:
@@ -83,6 +162,7 @@ def sketch_jaccard(x: Column, y: Column, size: int = SKETCH) -> Column:
 
 
 def cluster(sequences: DataFrame, threshold: float = MASH_THRESHOLD, k: int = MASH_K) -> DataFrame:
-    """(id, cluster_id): single linkage of sequences (id, sequence) closer than a Mash distance, by exact k-mer sets."""
-    pairs = similar_pairs(kmers(sequences, k), threshold, k)
-    return cluster_labels(connected(sequences, pairs))
+    """(id, cluster_id): single linkage of sequences (id, sequence) closer than a Mash distance; a sequence without a k-mer is
+    alone."""
+    roots = linked(sets.kmers(sequences, k), threshold, k)
+    return cluster_labels(sequences.select("id").join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..operators import build, contract, features, labels, metrics, predict, similarity, splits
+from ..operators import build, contract, features, labels, metrics, predict, sets, similarity, splits
 from . import evaluation, panel
 from .queries import _E, _H, _P, _T, QUERIES, SQL, genomes, hits, measurements, query, r6, scored, table, training
 __all__ = ["QUERIES", "SQL"]
@@ -268,21 +268,21 @@ def leakage_refit(s, d):
 
 
 def _sequences(s, d) -> DataFrame:
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.upper(F.substring(F.regexp_replace("text", "[^a-zA-Z]", ""), 1, 300)).alias("sequence"))
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.upper(F.regexp_replace("text", "[^a-zA-Z]", "")).alias("sequence"))
 
 
-@query("""with q as (select doc_id as id, upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 300)) as x from documents), t as (select distinct id, substr(x, i, 21) as t from (select id, x, unnest(range(1, length(x) - 19)) as i from q where length(x) >= 21))
+@query("""with q as (select doc_id as id, upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) as x from documents), t as (select distinct id, substr(x, i, 21) as t from (select id, x, unnest(range(1, length(x) - 19)) as i from q where length(x) >= 21))
 select id, count(*) as n from t group by id""")
 def sequence_kmers(s, d):
-    return similarity.kmers(_sequences(s, d)).groupBy("id").agg(F.count("*").alias("n"))
+    return similarity.heads(sets.kmers(_sequences(s, d), K.MASH_K)).select("id", "n")
 
 
 @query()
 def sequence_sketch(s, d):
-    return similarity.sketch(similarity.kmers(_sequences(s, d)))
+    return similarity.sketch(sets.kmers(_sequences(s, d), K.MASH_K))
 
 
-@query("""with recursive q as (select doc_id as id, upper(substr(regexp_replace(text, '[^a-zA-Z]', '', 'g'), 1, 300)) as x from documents), t as (select distinct id, substr(x, i, 21) as t from (select id, x, unnest(range(1, length(x) - 19)) as i from q where length(x) >= 21)),
+@query("""with recursive q as (select doc_id as id, upper(regexp_replace(text, '[^a-zA-Z]', '', 'g')) as x from documents), t as (select distinct id, substr(x, i, 21) as t from (select id, x, unnest(range(1, length(x) - 19)) as i from q where length(x) >= 21)),
 n as (select id, count(*) as n from t group by id), p as (select a.id as a, b.id as b, count(*) as i from t a join t b on a.t = b.t and a.id < b.id group by all),
 j as (select a, b, i::double / (u.n + v.n - i) as j from p join n u on u.id = a join n v on v.id = b), l as (select a, b from j where case when j >= 1 then 0 else -ln(2 * j / (1 + j)) / 21 end < 0.02),
 e as (select a, b from l union all select b, a from l), r(id, root) as (select id, id from q union select e.b, r.root from r join e on r.id = e.a), m as (select id, min(root) as root from r group by id)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import names, scores
-from ..operators import build, contract, features, labels, metrics, models, predict, report, similarity, splits
+from ..operators import build, contract, features, labels, metrics, models, predict, report, sets, similarity, splits
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -371,20 +371,19 @@ j as (select a, b, i::double / (u.n + v.n - i) as jaccard from p join n u on u.i
 l as (select * from j where case when jaccard >= 1 then 0 else -ln(2 * jaccard / (1 + jaccard)) / 5 end < 0.02)"""
 
 
-def _near(s, d):
-    docs = table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return docs, similarity.similar_pairs(similarity.shingles(docs, 5), 0.02, 5)
+def _texts(s, d):
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 @query(f"with {_SH} select a, b, round(jaccard, 6) as jaccard, round(case when jaccard >= 1 then 0 else -ln(2 * jaccard / (1 + jaccard)) / 5 end, 6)::double as distance from l")
 def kmer_jaccard_pairs(s, d):
-    return _near(s, d)[1].select("a", "b", r6("jaccard").alias("jaccard"), r6("distance").alias("distance"))
+    return similarity.similar_pairs(sets.shingles(_texts(s, d), 5), 0.02, 5).select("a", "b", r6("jaccard").alias("jaccard"), r6("distance").alias("distance"))
 
 
 @query(f"with recursive {_SH}, b as (select a, b from l union all select b, a from l), r(id, root) as (select doc_id, doc_id from documents union select b.b, r.root from r join b on r.id = b.a) select id, min(root) as root from r group by id")
 def connected_components(s, d):
-    docs, pairs = _near(s, d)
-    return similarity.connected(docs, pairs)
+    docs = _texts(s, d)
+    return docs.select("id").join(similarity.linked(sets.shingles(docs, 5), 0.02, 5), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 @query("""with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), c as (select doc_id::varchar as genome_id, coalesce(sum(length(line)) filter (not starts_with(line, 'The')), 0)::bigint as total_bp,

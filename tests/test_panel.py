@@ -1,6 +1,9 @@
 """Builds, predictions, calibration, evaluation and reports on small fixtures."""
 
 import json
+import math
+import random
+import time
 
 import numpy as np
 import pytest
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from phenospark.functions import constants as K
 from phenospark.functions import scores
-from phenospark.operators import build, contract, features, labels, metrics, models, predict, report, similarity, splits
+from phenospark.operators import build, contract, features, labels, metrics, models, predict, report, sets, similarity, splits
 from phenospark.plans import evaluation, jobs, panel
 from phenospark.sources import dataset, readers
 from synthetic import synthetic
@@ -115,12 +118,85 @@ def test_clusters_of_sequences(spark):
     seqs = spark.createDataFrame(rows, "id string, sequence string")
     got = {r.id: r.cluster_id for r in similarity.cluster(seqs).collect()}
     assert got == {f"{i}{j}": f"CL-000{i}" for i in range(3) for j in range(3)}
-    sets = {k: {s[p : p + 21] for p in range(len(s) - 20)} for k, s in rows}
-    assert {r.id: r.n for r in similarity.kmers(seqs).groupBy("id").agg(F.count("*").alias("n")).collect()} == {k: len(v) for k, v in sets.items()}
-    sk = similarity.sketch(similarity.kmers(seqs))
+    truth = {k: {s[p : p + 21] for p in range(len(s) - 20)} for k, s in rows}
+    assert {r.id: r.n for r in similarity.heads(sets.kmers(seqs, 21)).collect()} == {k: len(v) for k, v in truth.items()}
+    sk = similarity.sketch(sets.kmers(seqs, 21))
     a, b = sk.where("id = '00'").select(F.col("sketch").alias("x")), sk.where("id = '02'").select(F.col("sketch").alias("y"))
     j = a.join(b).select(similarity.sketch_jaccard(F.col("x"), F.col("y")).alias("j")).first().j
-    assert abs(j - len(sets["00"] & sets["02"]) / len(sets["00"] | sets["02"])) < 0.12
+    assert abs(j - len(truth["00"] & truth["02"]) / len(truth["00"] | truth["02"])) < 0.12
+
+
+def jaccard_truth(texts, k, threshold):
+    shingles = {i: {tuple(w[p : p + k]) for p in range(len(w) - k + 1)} for i, w in ((i, t.split()) for i, t in texts)}
+    out = {}
+    for a, x in shingles.items():
+        for b, y in shingles.items():
+            if a < b and x & y:
+                j = len(x & y) / len(x | y)
+                d = -math.log(2 * j / (1 + j)) / k
+                if d < threshold:
+                    out[a, b] = j
+    return out
+
+
+def test_similar_pairs_and_links(spark):
+    """Near copies in a chain, equal sets, short ones, and a common line that all have."""
+    rng = random.Random(4)
+    line, texts = " ".join(f"c{i}" for i in range(12)), []
+    for g in range(12):
+        words = [f"g{g}w{rng.randrange(500)}" for _ in range(rng.choice([3, 6, 30, 200, 600]))]
+        for _ in range(rng.randrange(1, 9)):
+            texts.append((len(texts), " ".join(words) + (" " + line if len(words) > 6 else "")))
+            if rng.random() < 0.7 and len(words) > 5:
+                words = list(words)
+                words[rng.randrange(len(words))] = f"x{rng.random()}"
+    texts += [(len(texts), ""), (len(texts) + 1, "one two")]
+    table = sets.shingles(spark.createDataFrame(texts, "id long, text string"), 3)
+    for threshold in (0.02, 0.2):
+        want = jaccard_truth(texts, 3, threshold)
+        got = {(r.a, r.b): r.jaccard for r in similarity.similar_pairs(table, threshold, 3).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want) and want
+        root = {i: i for i, _ in texts}
+        for _ in texts:
+            for a, b in want:
+                root[a] = root[b] = min(root[a], root[b])
+        assert {r.id: r.root for r in similarity.linked(table, threshold, 3).collect()} == {i: root[i] for i, t in texts if len(t.split()) >= 3}
+
+
+def test_kmers_are_linear_and_exact(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    genome = "".join(rng.choice(list("ACGT"), 5_000_000))
+    began = time.perf_counter()
+    tokens = np.unique(sets.windows(sets.letters(genome), 21))
+    assert time.perf_counter() - began < 20 and 4_900_000 < len(tokens) <= len(genome) - 20
+    short = genome[:3000] + "é中" + genome[:300]
+    assert len(np.unique(sets.windows(sets.letters(short), 7))) == len({short[i : i + 7] for i in range(len(short) - 6)})
+    for k in (1, 2, 5, 21, 32):
+        w = sets.windows(sets.letters(short), k)
+        assert (w[0] == w[3002]) and len(w) == len(short) - k + 1
+    assert not len(sets.windows(sets.letters("ACG"), 4)) and not len(sets.letters(None))
+
+
+def test_sets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sets, "PART_TOKENS", 100)
+    rng = random.Random(2)
+    base = "".join(rng.choice("ACGT") for _ in range(3000))
+    rows = [("a", base), ("b", base[:1500] + "A" + base[1500:]), ("c", base[::-1]), ("d", base[:2000]), ("e", "AC"), ("f", None)]
+    table = sets.kmers(spark.createDataFrame(rows, "id string, sequence string"), 21)
+    assert table.groupBy("id").count().where("count > 8").count() == 4
+    assert table.selectExpr("max(size(tokens))").first()[0] < 1000
+    truth = {i: {s[p : p + 21] for p in range(len(s) - 20)} for i, s in rows if s and len(s) > 20}
+    assert {r.id: r.n for r in similarity.heads(table).collect()} == {i: len(x) for i, x in truth.items()}
+    got = {(r.a, r.b): r.jaccard for r in similarity.similar_pairs(table, 0.02, 21).collect()}
+    want = {(a, b): len(truth[a] & truth[b]) / len(truth[a] | truth[b]) for a, b in (("a", "b"), ("a", "d"), ("b", "d"))}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
+
+
+def test_connected_chain(spark):
+    edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(59, 3), (7, 7)]
+    nodes = spark.range(70).toDF("id")
+    got = {r.id: r.root for r in similarity.connected(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 if i < 20 or 40 <= i < 60 else 20 if i < 40 else i for i in range(70)} | {60: 60}
 
 
 def test_requests_and_answers(spark, tmp_path):
