@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import names, scores
-from ..operators import build, contract, features, labels, metrics, models, predict, report, sets, similarity, splits
+from ..operators import build, contract, features, labels, lineage, metrics, models, predict, report, sets, similarity, splits
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,6 +521,31 @@ def fit_models(s, d):
     return models.fit(_fit_rows(s, d), ["drug"])
 
 
+def _gradient(rows: DataFrame, told: DataFrame, c: float) -> DataFrame:
+    """drug, feature, g: the gradient of the fitted loss by coefficient, from every row's score."""
+    error = rows.select("drug", "genome_id", "weight", "y", F.explode(F.concat("features", F.array(F.lit("")))).alias("feature")).join(told.select("drug", "genome_id", "p"), ["drug", "genome_id"])
+    return error.groupBy("drug", "feature").agg((c * F.sum(F.col("weight") * (F.col("p") - F.col("y")))).alias("g"))
+
+
+@query(f"""with {_T}, {_P}, q as (select drug from t group by drug having count(distinct y) = 2), u as (select distinct t.drug, f.feature from t join q using (drug) join f using (genome_id))
+select q.drug, count(u.feature) + 1 as n_coef, 0.0::double as residual from q left join u using (drug) group by q.drug""")
+def fit_residuals(s, d):
+    rows = lineage.cut(_fit_rows(s, d))
+    fitted = lineage.cut(models.fit(rows, ["drug"]))
+    g = _gradient(rows, models.score(rows, fitted, ["drug"]), K.LR_C)
+    both = g.join(fitted.select("drug", F.coalesce("feature", F.lit("")).alias("feature"), "coef"), ["drug", "feature"], "full")
+    return both.groupBy("drug").agg(F.count("coef").alias("n_coef"), F.round(F.max(F.abs(F.coalesce("g", F.lit(1.0)) + F.coalesce("coef", F.lit(1.0)))), 5).alias("residual"))
+
+
+@query(f"""with {_E} select drug, count(*) as n, sum(y)::bigint as n_r, 0.0::double as by_slope, 0.0::double as by_intercept from e group by drug having count(distinct y) = 2""")
+def platt_residuals(s, d):
+    rows = lineage.cut(scored(s, d).select("drug", "y", F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6)).alias("p")))
+    x = F.log(F.col("p") / (1 - F.col("p")))
+    told = rows.join(models.platt(rows, ["drug"]).where("a is not null"), "drug").withColumn("x", x).withColumn("e", 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b")))) - F.col("y"))
+    by = told.groupBy("drug", "n", "n_r").agg(F.round(F.abs(F.sum(F.col("e") * F.col("x")) + F.first("a")), 5).alias("by_slope"), F.round(F.abs(F.sum("e")), 5).alias("by_intercept"))
+    return by.select("drug", "n", "n_r", "by_slope", "by_intercept")
+
+
 @query()
 def platt_scaling(s, d):
     return models.platt(scored(s, d).select("drug", "y", "p"), ["drug"])

@@ -300,7 +300,7 @@ def test_models_brute(spark):
     z = np.log(np.round(p, 2) / (1 - np.round(p, 2)))
     q = 1 / (1 + np.exp(-(ab.a * z + ab.b)))
     assert abs(np.sum(q - y)) < 1e-6 and abs(np.sum((q - y) * z) + ab.a) < 1e-6 and (ab.n, ab.n_r) == (160, int(y.sum()))
-    out = models.out_of_fold(weighted.drop("weight").withColumn("weight", F.lit(1.0)), reweigh=labels.cluster_weights).collect()
+    out = models.out_of_fold(weighted, balance=True).collect()
     assert len(out) == 160
     folds = {r.genome_id: r.fold for r in out}
     one = [r for r in rows if folds[r[1]] != 0]
