@@ -1,4 +1,4 @@
-"""``python -m phenospark read|fit|evaluate|report``."""
+"""``python -m phenospark read|fit|evaluate|report|build|adapt|clusters``."""
 
 from .plans.jobs import main
 

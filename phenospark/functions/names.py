@@ -15,8 +15,8 @@ def blank_to_null(c: Column) -> Column:
 
 
 def canonical_drug(name: Column) -> Column:
-    """Trimmed, a capital after every character that is no letter."""
-    parts = F.regexp_extract_all(F.lower(F.trim(name)), F.lit(r"([a-z]+|[^a-z]+)"), 1)
+    """Trimmed, a capital after every character without capitals of its own; letters of any script count."""
+    parts = F.regexp_extract_all(F.lower(F.trim(name)), F.lit(r"([\p{Ll}\p{Lu}\p{Lt}]+|[^\p{Ll}\p{Lu}\p{Lt}]+)"), 1)
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substr(p, F.lit(2)))), "")
 
 

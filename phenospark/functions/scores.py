@@ -57,13 +57,33 @@ def no_call_reason(call: Column, p: Column, fitted: Column, ood: Column, failure
     )
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """``x`` to so many digits, as its exact binary value says: ties, and only they, go to the even digit.
+
+    The product x * 10**digits is known with its error (a product of two halves each), which tells on which side of a tie
+    the exact product lies where the rounded one is a tie."""
+    s = float(10**digits)
+    p = x * F.lit(s)
+
+    def halves(v):
+        c = v * F.lit(134217729.0)  # 2**27 + 1
+        high = c - (c - v)
+        return high, v - high
+
+    (xh, xl), (sh, sl) = halves(x), halves(F.lit(s))
+    error = ((xh * sh - p) + xh * sl + xl * sh) + xl * sl
+    k = F.rint(p)
+    tie = F.when((p - k == 0.5) & (error > 0), 1.0).when((p - k == -0.5) & (error < 0), -1.0).otherwise(0.0)
+    return (k + tie) / F.lit(s)
+
+
 def display_confidence(p: Column) -> Column:
     return F.greatest(F.lit(0.01), F.least(F.lit(0.99), p))
 
 
 def state_confidence(call: Column, p: Column) -> Column:
     """Confidence in the reported state, to three digits; not clamped, which only shown percents are."""
-    return F.round(F.when(call == "likely_to_work", 1 - p).otherwise(p), 3)
+    return rounded(F.when(call == "likely_to_work", 1 - p).otherwise(p), 3)
 
 
 def sort_key(call: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import rounded
+
 
 def _count(when: Column) -> Column:
     return F.sum(F.when(when, 1).otherwise(0))
@@ -104,10 +106,10 @@ def seed_table(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
 def leakage(rows: DataFrame, group: str) -> DataFrame:
     """Mean and sample deviation for the random and the grouped split to three digits, and the gap of these means."""
     def of(kind: str, f):
-        return F.round(f(F.when(F.col("split") == kind, F.col("value"))), 3)
+        return rounded(f(F.when(F.col("split") == kind, F.col("value"))), 3)
 
     out = rows.groupBy(group).agg(*[of(k, f).alias(f"{k}{n}") for k in ("random", "grouped") for n, f in (("", F.avg), ("_sd", F.stddev_samp))])
-    return out.withColumn("gap", F.round(F.col("random") - F.col("grouped"), 3))
+    return out.withColumn("gap", rounded(F.col("random") - F.col("grouped"), 3))
 
 
 def calibration(rows: DataFrame, group: str, low: float, high: float) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import SEEDS, SPECIES
-from ..operators import build, contract, features, report
+from ..operators import build, contract, features, report, similarity, splits
 from ..sources import dataset, readers
 from . import evaluation, panel
 
@@ -27,7 +27,7 @@ def read_annotations(spark: SparkSession, path: str, out: str, most_failures: fl
     contract.validate([contract.duplicates(matrix, "genome_id")])
     about = features.annotate(hits, "pos").withColumnRenamed("feature", "feature_name")
     for df, name, key in ((matrix, "features", "genome_id"), (about, "gene_metadata", "feature_name")):
-        df.orderBy(key).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/{name}.csv")
+        df.orderBy(key).write.mode("overwrite").option("header", True).csv(f"{out}/{name}.csv")
     return about
 
 
@@ -51,19 +51,34 @@ def build_from_cache(spark: SparkSession, ids: DataFrame, cache: str, out: str,
         "sp_gene": (readers.requests(ids, "sp_gene", ["genome_id", "gene", "product", "antibiotics_class"], "eq(source,NDARO)"), "genome_id string, gene string, product string, antibiotics_class string"),
         "genome": (readers.requests(ids, "genome", ["genome_id", "genome_name", "mlst", "species"]), "genome_id string, genome_name string, mlst string, species string"),
     }
-    rows = []
-    for request, schema in asked.values():
-        if get is not None:
-            readers.fetch(request, get, cache)
-        rows.append(readers.answers(request, cache, schema).withColumn("pos", F.struct("batch", "pos")))
+    for request, _ in asked.values() if get is not None else ():
+        readers.fetch(request, get, cache)
+    # Read after all is fetched: Spark takes two reads of a folder for the same, whatever was added between them.
+    rows = [readers.answers(request, cache, schema).withColumn("pos", F.struct("batch", "pos")) for request, schema in asked.values()]
     data, about = build.from_api(*rows, "pos")
     dataset.write(data, out, about)
 
 
+def adapt(spark: SparkSession, archive: str, label_file: str, clusters: list[str], out: str, matrix: str = "feature_matrix_real") -> None:
+    """The contract files of a zip with a wide feature table, a file of sampled labels, and the first table of clusters that
+    is there."""
+    wide = readers.zip_csvs(spark, archive)[matrix]
+    said = readers.csv(spark, label_file).withColumn("pos", F.monotonically_increasing_id())
+    dataset.write(build.from_files(wide, said, readers.csv(spark, readers.first_of(spark, clusters)), "pos"), out)
+
+
+def clusters(spark: SparkSession, fasta: str, out: str) -> None:
+    """genome_id, cluster_id of a folder of FASTA files, as CSV."""
+    found = similarity.cluster(readers.sequences(spark, fasta)).withColumnRenamed("id", "genome_id")
+    if found.isEmpty():
+        raise splits.SplitError(f"no FASTA file in {fasta}")
+    found.orderBy("genome_id").write.mode("overwrite").option("header", True).csv(out)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="phenospark")
     todo = parser.add_subparsers(dest="job", required=True)
-    for name, options in {"read": ("tsv", "out"), "evaluate": ("data", "out"), "fit": ("data", "panel"), "report": ("panel", "tsv", "out")}.items():
+    for name, options in {"read": ("tsv", "out"), "evaluate": ("data", "out"), "fit": ("data", "panel"), "report": ("panel", "tsv", "out"), "build": ("ids", "cache", "out"), "adapt": ("archive", "labels", "clusters", "out"), "clusters": ("fasta", "out")}.items():
         sub = todo.add_parser(name)
         for o in options:
             sub.add_argument(f"--{o}", required=True)
@@ -76,5 +91,12 @@ def main(argv: list[str] | None = None) -> None:
         evaluation.evaluate(dataset.load(spark, args.data), args.out, SEEDS)["metrics"].show(truncate=False)
     elif args.job == "fit":
         panel.engine(spark, args.panel, dataset.load(spark, args.data))
+    elif args.job == "build":
+        ids = readers.id_list(spark, args.ids).withColumn("n", F.monotonically_increasing_id())
+        build_from_cache(spark, ids, args.cache, args.out)
+    elif args.job == "adapt":
+        adapt(spark, args.archive, args.labels, args.clusters.split(","), args.out)
+    elif args.job == "clusters":
+        clusters(spark, args.fasta, args.out)
     else:
         reports(spark, panel.engine(spark, args.panel), args.tsv).write.mode("overwrite").json(args.out)

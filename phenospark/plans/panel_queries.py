@@ -155,14 +155,29 @@ def bridge_features(s, d):
     return features.bridge(rows, vocabulary, None, _RULES, ["Always", "Never"])
 
 
-@query("select 'Ciprofloxacin' as drug, 'Ciprofloxacin: none of its curated resistance genes match a feature column, so every prediction will report ''statistical_association'' — absence of expressible evidence, NOT absence of known biology.' as message")
+_PARTS = """p as (select p_brand as drug, 'bla' || upper(replace(p_name, ' ', '')) as family, p_size, p_type from part), k as (select distinct drug, family, family || '-' || p_size as gene from p where p_size <= 3),
+v as (select distinct family, family || '-' || p_size as feature from p where p_type = 'ECONOMY' and p_size in (3, 49) union select family, family from p where p_type = 'ECONOMY' and p_size = 50),
+c as (select k.drug, v.feature from k join v on feature = gene union select k.drug, v.feature from k join v using (family) where gene not in (select feature from v))"""
+
+
+def brand_genes(s, d) -> tuple[DataFrame, DataFrame]:
+    """Small parts as curated genes of their brands; some economy parts, and bare families of others, as the vocabulary."""
+    family = F.concat(F.lit("bla"), F.upper(F.regexp_replace("p_name", " ", "")))
+    gene = F.concat(family, F.lit("-"), F.col("p_size").cast("string"))
+    parts = table(s, d, "part")
+    economy = parts.where("p_type = 'ECONOMY'")
+    vocabulary = economy.where("p_size in (3, 49)").select(gene.alias("feature")).union(economy.where("p_size = 50").select(family.alias("feature"))).distinct()
+    return parts.where("p_size <= 3").select(F.col("p_brand").alias("drug"), gene.alias("gene")).distinct(), vocabulary
+
+
+@query(f"with {_PARTS} select distinct drug, drug || ': none of its curated resistance genes match a feature column, so every prediction will report ''statistical_association'' — absence of expressible evidence, NOT absence of known biology.' as message from k where drug not in (select drug from c)")
 def unavailable_evidence(s, d):
-    return predict.unavailable_evidence(predict.curated_table(s), s.sql("select * from values ('blaTEM-1'), ('dfrA'), ('gyrA') as t(feature)"))
+    return predict.unavailable_evidence(*brand_genes(s, d))
 
 
-@query("""select drug, count(*) as n from (values ('Ampicillin', 25), ('Ciprofloxacin', 18), ('Trimethoprim', 8)) as t(drug, k), range(100) as r(i) where i < k group by drug""")
+@query(f"with {_PARTS} select drug, count(distinct feature) as n from c group by drug")
 def curated_genes(s, d):
-    return predict.curated_table(s).groupBy("drug").agg(F.count("*").alias("n"))
+    return predict.curated_columns(*brand_genes(s, d)).groupBy("drug").agg(F.count("*").alias("n"))
 
 
 # --- panel predictions -------------------------------------------------------------------------------------------
@@ -219,9 +234,9 @@ u as (select *, coalesce(sum(neg) over (partition by drug order by p rows betwee
 a as (select drug, sum(pos * (below + neg / 2.0)) / (sum(pos) * sum(neg)) as auroc, sum(pos * tp::double / k) / sum(pos) as pr_auc from u group by drug),
 c as (select drug, count(*) as n_test, avg(y) as r, avg((p - y) * (p - y)) as b, avg((least(p + 0.01, 1.0) - y) * (least(p + 0.01, 1.0) - y)) as braw, count(*) filter (call in ('likely_to_fail', 'likely_to_work')) as n_answered, count(*) filter (call = 'no_call') as nc, count(*) filter (call = 'not_applicable') as na,
  count(*) filter (call = 'likely_to_fail' and y = 1)::double as tp, count(*) filter (call = 'likely_to_fail' and y = 0)::double as fp, count(*) filter (call = 'likely_to_work' and y = 0)::double as tn, count(*) filter (call = 'likely_to_work' and y = 1)::double as fn from e group by drug)
-select drug, n_test, round((100.0 * r)::decimal(18, 9), 1)::double as pct_r, round((100.0 * n_answered / n_test)::decimal(18, 9), 1)::double as coverage, n_answered::bigint as n_answered, round(((tp / (tp + fn) + tn / (tn + fp)) / 2)::decimal(18, 9), 3)::double as bal_acc,
-round((tp / (tp + fn))::decimal(18, 9), 3)::double as recall_r, round((tn / (tn + fp))::decimal(18, 9), 3)::double as recall_s, round((2 * tp / (2 * tp + fp + fn))::decimal(18, 9), 3)::double as f1_r, round(auroc::decimal(18, 9), 3)::double as auroc, round(pr_auc::decimal(18, 9), 3)::double as pr_auc,
-round(braw::decimal(18, 9), 4)::double as brier_raw, round(b::decimal(18, 9), 4)::double as brier_cal, round((100.0 * nc / n_test)::decimal(18, 9), 1)::double as no_call, round((100.0 * na / n_test)::decimal(18, 9), 1)::double as not_appl from c join a using (drug)""")
+select drug, n_test, printf('%.1f', ((100.0 * r))::double)::double as pct_r, printf('%.1f', ((100.0 * n_answered / n_test))::double)::double as coverage, n_answered::bigint as n_answered, printf('%.3f', (((tp / (tp + fn) + tn / (tn + fp)) / 2))::double)::double as bal_acc,
+printf('%.3f', ((tp / (tp + fn)))::double)::double as recall_r, printf('%.3f', ((tn / (tn + fp)))::double)::double as recall_s, printf('%.3f', ((2 * tp / (2 * tp + fp + fn)))::double)::double as f1_r, printf('%.3f', (auroc)::double)::double as auroc, printf('%.3f', (pr_auc)::double)::double as pr_auc,
+printf('%.4f', (braw)::double)::double as brier_raw, printf('%.4f', (b)::double)::double as brier_cal, printf('%.1f', ((100.0 * nc / n_test))::double)::double as no_call, printf('%.1f', ((100.0 * na / n_test))::double)::double as not_appl from c join a using (drug)""")
 def metrics_table(s, d):
     return evaluation.metrics_table(scored(s, d).withColumn("raw", F.least(F.col("p") + 0.01, F.lit(1.0))), ["drug"])
 

@@ -157,10 +157,10 @@ def mlst_parse(s, d):
     return table(s, d, "customer").select("c_custkey", names.parse_mlst(mlst).alias("st"))
 
 
-@query("select r_regionkey, 'Drug/Two-' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) as drug from (select r_regionkey, regexp_replace(r_name, '[^A-Za-z].*$', '') as r_name from region)")
+@query("select r_regionkey, 'Pénicilline/Two-' || upper(substr(r_name, 1, 1)) || lower(substr(r_name, 2)) as drug from (select r_regionkey, regexp_replace(r_name, '[^A-Za-z].*$', '') as r_name from region)")
 def canonical_drug(s, d):
     name = F.regexp_replace("r_name", "[^A-Za-z].*$", "")
-    return table(s, d, "region").select("r_regionkey", names.canonical_drug(F.concat(F.lit(" drug/TWO-"), name, F.lit(" "))).alias("drug"))
+    return table(s, d, "region").select("r_regionkey", names.canonical_drug(F.concat(F.lit(" pénicilline/TWO-"), name, F.lit(" "))).alias("drug"))
 
 
 _CURATED = "c as (select * from (values ('A', 'blaRED'), ('A', 'blaHOT-7'), ('N', 'blaBLU-3'), ('N', 'smal_S5L')) as t(drug, gene))"
@@ -318,8 +318,8 @@ def multi_seed_summary(s, d):
 
 @query(f"""with {_E}, v as (select drug, cluster % 8 as seed, case when event_id % 2 = 0 then 'random' else 'grouped' end as split, avg((p - y) * (p - y)) as value from e group by all),
 g as (select drug, avg(value) filter (split = 'random') as random, stddev_samp(value) filter (split = 'random') as random_sd, avg(value) filter (split = 'grouped') as grouped, stddev_samp(value) filter (split = 'grouped') as grouped_sd from v group by drug),
-r as (select drug, round(random::decimal(18, 9), 3)::double as random, round(random_sd::decimal(18, 9), 3)::double as random_sd, round(grouped::decimal(18, 9), 3)::double as grouped, round(grouped_sd::decimal(18, 9), 3)::double as grouped_sd from g)
-select *, round((random - grouped)::decimal(18, 9), 3)::double as gap from r""")
+r as (select drug, printf('%.3f', (random)::double)::double as random, printf('%.3f', (random_sd)::double)::double as random_sd, printf('%.3f', (grouped)::double)::double as grouped, printf('%.3f', (grouped_sd)::double)::double as grouped_sd from g)
+select *, printf('%.3f', ((random - grouped))::double)::double as gap from r""")
 def leakage_pivot(s, d):
     split = F.when(F.col("event_id") % 2 == 0, "random").otherwise("grouped").alias("split")
     v = scored(s, d).groupBy("drug", (F.col("cluster") % 8).alias("seed"), split).agg(F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("value"))
@@ -425,7 +425,7 @@ pr as (select *, case when call = 'likely_to_fail' and sample_id % 3 = 0 then 's
 
 @query(f"""with {_PR} select sample_id, drug, coalesce(class, 'Unknown') as drug_class,
 case call when 'likely_to_fail' then 'Likely to fail' when 'likely_to_work' then 'Likely to work' else 'No-call' end as underlying_state,
-round((case when call = 'likely_to_work' then 1 - p else p end)::decimal(18, 9), 3)::double as confidence,
+printf('%.3f', ((case when call = 'likely_to_work' then 1 - p else p end))::double)::double as confidence,
 case call when 'not_applicable' then 'N/A' when 'no_call' then 'Ambiguous' else coalesce(genes, 'None detected') end as target_marker, coalesce(locus, 'N/A') as locus_id,
 case when call = 'not_applicable' then 'The molecular target for ' || drug || ' (' || coalesce(locus, 'the drug target') || ') was not detected in this genome, so susceptibility cannot be assessed from sequence.'
 when call = 'no_call' then 'Evidence for ' || drug || ' is inconclusive, so no confident biological interpretation is made. ' || coalesce(reason, 'the evidence is weak or conflicting')

@@ -46,13 +46,14 @@ def load(spark: SparkSession, path: str) -> Dataset:
 
 
 def write(data: Dataset, path: str, about: DataFrame | None = None) -> None:
-    """The contract files, each a folder of one sorted CSV (the wide table's vocabulary is collected: it is the header),
-    the targets as one JSON object, and the features' metadata."""
+    """The contract files, each a folder of CSV parts by ranges of its keys, sorted, which load() reads as one (the wide table's
+    vocabulary is collected: it is the header), the targets as one JSON object, and the features' metadata. A folder is
+    whole once its _SUCCESS is there."""
     names = [r.feature for r in data.vocabulary.select("feature").distinct().orderBy("feature").collect()]
     wide = features.matrix(data.genomes, data.features, names)
 
     def put(df: DataFrame, name: str, *order: str) -> None:
-        df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")
+        df.orderBy(*order).write.mode("overwrite").option("header", True).csv(f"{path}/{name}.csv")
 
     put(wide, "features", "genome_id")
     put(data.labels, "labels", "genome_id", "drug")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import time
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import BATCH_IDS, MIN_GENOME_BP, PAGE_LIMIT, TRIES
+from ..operators.lineage import shared
 
 
 class GenomeReaderError(ValueError):
@@ -24,14 +26,6 @@ def csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     return df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
 
 
-def column(df: DataFrame, candidates: list[str], required: bool = True) -> str | None:
-    """The first of several names that the table has."""
-    found = next((c for c in candidates if c in df.columns), None)
-    if found is None and required:
-        raise GenomeReaderError(f"none of {candidates} in {df.columns}")
-    return found
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, in whatever store Spark reads it from."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -137,10 +131,24 @@ def id_list(spark: SparkSession, path: str, limit: int | None = None) -> DataFra
 
 
 def zip_csvs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of a zip of CSV files, by stem. Meant for small archives of curated tables."""
-    raw = spark.read.format("binaryFile").load(path).select("content").first().content
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        return {n.rsplit("/", 1)[-1].removesuffix(".csv"): spark.createDataFrame(pd.read_csv(z.open(n), dtype=str, keep_default_na=False)) for n in z.namelist() if n.endswith(".csv")}
+    """Tables of zips of CSV files, by stem. The archives are taken apart in the tasks and each file's lines are written in
+    order below the checkpoint folder, from where Spark reads them as any other CSV."""
+    raw = spark.read.format("binaryFile").load(path).select("content")
+
+    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for content in f["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in sorted(n for n in z.namelist() if n.endswith(".csv")):
+                        stem = name.rsplit("/", 1)[-1].removesuffix(".csv")
+                        with z.open(name) as lines:
+                            while part := [x.decode("utf-8-sig").rstrip("\r\n") for x in lines.readlines(1 << 20)]:
+                                yield pd.DataFrame({"value": part, "stem": stem})
+
+    out = f"{shared(spark)}/zip-{uuid.uuid4().hex}"
+    raw.mapInPandas(unpack, "value string, stem string").write.partitionBy("stem").text(out)
+    stems = [r.stem for r in spark.read.text(out).select("stem").distinct().collect()]  # one for each table
+    return {stem: csv(spark, f"{out}/stem={stem}") for stem in stems}
 
 
 def targets(spark: SparkSession, path: str) -> DataFrame:
@@ -159,11 +167,26 @@ def requests(ids: DataFrame, endpoint: str, columns: list[str], extra: str = "",
     return by.select("batch", F.lit(endpoint).alias("endpoint"), query.alias("query")).withColumn("key", F.concat(F.lit(f"{endpoint}_"), F.substring(F.sha1(F.concat(F.lit(f"{endpoint}?"), "query")), 1, 16), F.lit(".json")))
 
 
+def _kept(spark: SparkSession, cache: str) -> DataFrame:
+    """key, value of the kept answers: JSON files that were there before, and what fetch() has added beside them."""
+    found = spark.createDataFrame([], "key string, value string")
+    if exists(spark, cache):
+        files = spark.read.option("pathGlobFilter", "*.json").text(cache, wholetext=True)
+        found = found.unionByName(files.select(F.col("_metadata.file_name").alias("key"), "value"))
+    if exists(spark, fetched(cache)):
+        found = found.unionByName(spark.read.schema("key string, value string").parquet(fetched(cache)).dropDuplicates(["key"]))
+    return found
+
+
+def fetched(cache: str) -> str:
+    """The table of answers that fetch() keeps for a folder of answers."""
+    return f"{cache.rstrip('/')}.fetched"
+
+
 def answers(asked: DataFrame, cache: str, schema: str, limit: int = PAGE_LIMIT) -> DataFrame:
-    """Rows of the kept answers to requests() below a folder, with batch and pos. Raises (when read) for a request without
-    an answer and for an answer that fills a page, which may have lost rows."""
-    spark = asked.sparkSession
-    kept = spark.read.option("pathGlobFilter", "*.json").text(cache, wholetext=True).select(F.col("_metadata.file_name").alias("key"), F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
+    """Rows of the kept answers to requests(), with batch and pos. Raises (when read) for a request without an answer and
+    for an answer that fills a page, which may have lost rows."""
+    kept = _kept(asked.sparkSession, cache).select("key", F.from_json("value", f"array<struct<{schema}>>").alias("rows"))
     told = asked.join(kept, "key", "left")
     missing = F.raise_error(F.concat(F.lit("no answer is kept for "), F.col("key")))
     full = F.raise_error(F.concat(F.lit(f"an answer has {limit} rows or more, ask for fewer ids: "), F.col("key")))
@@ -173,33 +196,24 @@ def answers(asked: DataFrame, cache: str, schema: str, limit: int = PAGE_LIMIT)
 
 def fetch(asked: DataFrame, get: Callable[[str, str], str], cache: str, tries: int = TRIES, wait: float = 2.0) -> None:
     """Keep answers of requests() that are not kept yet: ``get`` (endpoint, query) gives JSON text; a failure is tried again
-    after ``wait`` seconds times the number of tries so far. Requests go out from the tasks, answers are written by Spark."""
-    spark = asked.sparkSession
-    if exists(spark, cache):
-        have = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(cache).select(F.element_at(F.split("path", "/"), -1).alias("key"))
-        asked = asked.join(have, "key", "left_anti")
+    after ``wait`` seconds times the number of tries so far. Requests go out from the tasks, which write the answers to
+    fetched(); none passes the driver, and the write is committed whole or not at all."""
+    asked = asked.join(_kept(asked.sparkSession, cache).select("key"), "key", "left_anti")
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for endpoint, query in zip(f["endpoint"], f["query"], strict=True):
+            for key, endpoint, query in zip(f["key"], f["endpoint"], f["query"], strict=True):
                 for n in range(1, tries + 1):
                     try:
-                        out.append(get(endpoint, query))
+                        yield pd.DataFrame({"key": [key], "value": [get(endpoint, query)]})
                         break
                     except Exception as e:  # any failure of the service
                         if n == tries:
                             raise RuntimeError(f"{endpoint} failed after {tries} tries: {e}") from e
                         time.sleep(wait * n)
-            yield pd.DataFrame({"key": f["key"], "value": out})
-
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for r in asked.select("endpoint", "query", "key").mapInPandas(ask, "key string, value string").toLocalIterator():
-        target = fs.Path(f"{cache}/{r.key}")
-        out = target.getFileSystem(conf).create(target, True)
-        out.write(bytearray(r.value.encode()))
-        out.close()
+
+    out = asked.select("endpoint", "query", "key").mapInPandas(ask, "key string, value string")
+    out.write.mode("append").parquet(fetched(cache))
 
 
 def gate_failures(results: DataFrame, most: float = 0.05) -> DataFrame:

@@ -4,6 +4,8 @@ import json
 import math
 import random
 import time
+import zipfile
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -192,6 +194,35 @@ def test_sets_in_parts(spark, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-12 for p in want)
 
 
+def test_adapt_and_clusters(spark, tmp_path):
+    """A zip of CSV tables, sampled labels and clusters become contract files; FASTA files become clusters."""
+    with zipfile.ZipFile(tmp_path / "files.zip", "w") as z:
+        z.writestr("x/feature_matrix_real.csv", "\ufeffgenome_id,blaTEM-1,dfrA\n1.10,1,0\n2.1,,1\n3.1,0,0\n")
+        z.writestr("y/other.csv", 'a,b\n"x, y",\n')
+    tables = readers.zip_csvs(spark, f"{tmp_path}/files.zip")
+    assert set(tables) == {"feature_matrix_real", "other"} and [tuple(r) for r in tables["other"].collect()] == [("x, y", None)]
+    (tmp_path / "labels.csv").write_text("genome_id,antibiotic,phenotype,lab_method\n1.10,ampicillin,Resistant,Broth\n1.10,ampicillin,Susceptible,Disk\n2.1,ampicillin,Susceptible,Disk\n3.1,ampicillin,Resistant,\n9.9,ampicillin,Resistant,Disk\n")
+    (tmp_path / "shipped.csv").write_text("genome_id,cluster_id\n1.10,a\n2.1,b\n3.1,b\n8.8,c\n")
+    jobs.adapt(spark, f"{tmp_path}/files.zip", f"{tmp_path}/labels.csv", [f"{tmp_path}/mash.csv", f"{tmp_path}/shipped.csv"], f"{tmp_path}/out")
+    again = dataset.load(spark, f"{tmp_path}/out")
+    assert {tuple(r) for r in again.features.collect()} == {("1.10", "blaTEM-1"), ("2.1", "dfrA")}
+    assert {(r.genome_id, r.drug, r.phenotype) for r in again.labels.collect()} == {("1.10", "Ampicillin", "R"), ("2.1", "Ampicillin", "S")}
+    rng = random.Random(6)
+    (tmp_path / "fasta").mkdir()
+    for name in ("a", "b", "c"):
+        base = "".join(rng.choice("ACGT") for _ in range(2000)) if name != "b" else base
+        (tmp_path / "fasta" / f"{name}.fna").write_text(f">one\n{base[:1000].lower()}\n>two\n{base[1000:]}\n")
+    jobs.main(["clusters", "--fasta", f"{tmp_path}/fasta", "--out", f"{tmp_path}/clusters"])
+    got = {r.genome_id: r.cluster_id for r in readers.csv(spark, f"{tmp_path}/clusters").collect()}
+    assert got == {"a": "CL-0000", "b": "CL-0000", "c": "CL-0001"}
+
+
+def test_labels_without_a_genome_are_refused(spark, data):
+    lonely = data.labels.limit(1).withColumn("genome_id", F.lit("nobody"))
+    with pytest.raises(contract.ContractViolation):
+        panel.labelled(replace(data, labels=data.labels.unionByName(lonely)), spark.createDataFrame([], "drug string, feature string"))
+
+
 def test_connected_chain(spark):
     edges = [(i, i + 1) for i in range(60) if i % 20 != 19] + [(59, 3), (7, 7)]
     nodes = spark.range(70).toDF("id")

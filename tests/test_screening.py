@@ -25,7 +25,8 @@ def test_tokens(spark):
     assert one(spark, names.feature_token(null, F.lit("synthase @ Sul1"))) == "Sul1"
     assert one(spark, names.feature_token(F.lit("gyrA"), null)) is None
     assert one(spark, names.parse_mlst(F.lit("MLST.ecoli_achtman_4.410"))) == "ST-410"
-    assert one(spark, names.canonical_drug(F.lit(" trimethoprim/sulfa "))) == "Trimethoprim/Sulfa"
+    for name in (" trimethoprim/sulfa ", "pénicilline g", "ÉRY-thro mycine", "β-lactam", "2x o'neil", "žlutá中a", ""):
+        assert one(spark, names.canonical_drug(F.lit(name))) == name.strip().title()
 
 
 def test_mash(spark):
@@ -78,6 +79,23 @@ def test_split(spark):
     assert (out.groupby(["seed", "cluster_id"]).size() == 1).all() and set(out.split) == set(splits.SPLITS)
     with pytest.raises(splits.SplitError):
         splits.grouped_split(spark.createDataFrame(data, "drug string, cluster_id string, y int"), [0], 0.7, 0.5)
+    with pytest.raises(splits.SplitError):
+        splits.grouped_split(spark.createDataFrame([], "drug string, cluster_id string, y int"), [0])
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    rng = np.random.default_rng(5)
+    xs = [0.0625, 0.3125, 0.1875, 6.25, 2.675, 1.005, 0.5, 1.5, 2.5, 0.0, 1.0, -0.0625, -2.675, 0.0005, 0.00049999999999999]
+    xs += [float(x) for x in rng.random(3000)] + [k / 2000 for k in range(2001)] + [k / 16 * 100 for k in range(17)] + [-k / 800 for k in range(801)]
+    frame = spark.createDataFrame([(x,) for x in xs], "x double")
+    for digits in (1, 3, 4):
+        for r in frame.select("x", scores.rounded(F.col("x"), digits).alias("r")).collect():
+            assert r.r == round(r.x, digits), r
+    assert spark.range(1).select(scores.rounded(F.lit(None).cast("double"), 3).alias("r")).first().r is None
+    p = spark.createDataFrame([("likely_to_fail", 0.0625), ("likely_to_work", 0.6875), ("no_call", 0.3125)], "call string, p double")
+    assert [r.c for r in p.select(scores.state_confidence(F.col("call"), F.col("p")).alias("c")).collect()] == [0.062, 0.312, 0.312]
+    v = spark.createDataFrame([("d", s, x) for s, x in (("random", 0.0625), ("grouped", 0.0))], "drug string, split string, value double")
+    assert metrics.leakage(v, "drug").first().random == 0.062
 
 
 def test_models(spark):
