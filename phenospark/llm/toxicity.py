@@ -18,6 +18,7 @@ in clean(), only passed on), whatever their names.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ SAMPLE = 10_000
 MIN_SHARE, MIN_SUPPORT, MIN_RATIO, MIN_PRECISION = 0.02, 5, 20.0, 0.85
 STEM = (4, 10)
 FUZZY_FROM, FUZZY_WEIGHT, QUOTED = 5, 0.75, 0.5
+CAUTION, SURE, WEAK = 2.0, 3.5, 0.65
 CONTEXT = 6
 THRESHOLD = 0.7
 #: Words that report what others say (fixed values).
@@ -102,7 +104,7 @@ class Lexicon:
                 if token[:k] in self.stems:
                     found = (self.terms[token[:k]][0], token[:k])
             if found is None and len(token) >= FUZZY_FROM - 1 and token not in self.known and (term := self.near(token)):
-                found = (min(FUZZY_WEIGHT, self.terms[term][0]), term)
+                found = (FUZZY_WEIGHT * self.terms[term][0], term)
         if len(self.seen) > 300_000:
             self.seen.clear()
         self.seen[token] = found
@@ -187,10 +189,18 @@ def _counts(by: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([by[0][t] for t in terms], pa.int64()), pa.array([by[1][t] for t in terms], pa.int64())], names=["term", "n0", "n1"])
 
 
+def surely(hits: int, n: int, z: float) -> float:
+    """A lower bound of a share of which ``hits`` of n are known (Wilson's, ``z`` deviations below): a term that few rows
+    hold weighs less than one of the same precision that many do. Only a term that is precise ``SURE`` deviations below,
+    since many terms are tried, decides alone; others weigh ``WEAK`` at most."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def choose(counts: dict[str, tuple[int, int]]) -> dict[str, tuple[float, bool]]:
     """Terms from the counts of words and stems (``abc~``): of stems that one another begin, the longest that keeps 9 of 10
     toxic rows of the shorter; a word that a stem covers is left out."""
-    weight = {t: min(0.95, (n1 + 0.5) / (n0 + n1 + 1)) for t, (n0, n1) in counts.items()}
+    weight = {t: min(0.95 if surely(n1, n0 + n1, SURE) >= THRESHOLD else WEAK, surely(n1, n0 + n1, CAUTION)) for t, (n0, n1) in counts.items()}
     stems: set[str] = set()
     begun = {t[:-1]: n1 for t, (_, n1) in counts.items() if t.endswith("~")}
     for stem in sorted(begun, key=len):
