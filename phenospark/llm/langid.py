@@ -4,7 +4,7 @@ Trained by follow-the-regularised-leader with elastic-net penalties (L1 leaves m
 one temperature on rows that the training did not see. The classifier (inverse document frequencies included) is fitted
 on at most ``SAMPLE`` training rows, whose features are made on the executors: of every language the rows of least hash, as
 many of each as there are until the sample is full, so that rare languages are learned, too. Held-out rows give nothing to
-it. Whole texts are predicted, in one pass.
+it. Whole texts are predicted, in one pass. Of an id that is repeated each row is read, but the sample takes it once.
 
 Defined cases: null texts and texts without a letter give ``und`` with score 0; without training rows all texts do; rows
 repeated under one id and language are sampled together; ties of probability go to the language that sorts first. Very
@@ -118,10 +118,13 @@ def fit(documents: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", t
     """Train on at most ``sample`` rows with a language; by default those that aren't held out."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
     docs = docs.where("lang is not null and text is not null").where(~held_out(F.col("id")) if use is None else use)
-    # Ranks run to the sample's size at most, which each map task cuts to before the rows of a language meet.
+    # A bound on the hash leaves some twice the sample of each language, however many rows it has; only these are ranked.
     ids = docs.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
-    ranked = ids.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
-    chosen = ranked.orderBy("r", "h", "id").limit(sample).select("id", "lang").distinct()
+    many = docs.groupBy("lang").agg(F.approx_count_distinct("id").alias("many"))
+    share = F.expr("shiftrightunsigned(h, 1)") / F.lit(float(1 << 63))
+    low = ids.join(many, "lang").where(share * F.col("many") <= 2 * sample + 200).select("id", "lang", "h").distinct()
+    ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
+    chosen = ranked.orderBy("r", "h", "id").limit(sample).select("id", "lang")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
