@@ -78,8 +78,8 @@ def fingerprint(value: Column) -> Column:
     return F.xxhash64(field_paths(value))
 
 
-def _turns(get: Callable[[str, str], Column], m: Mapping) -> Column:
-    """The turns of a record; get gives the value at a path as a type."""
+def _turns(get: Callable[[str, str], Column], m: Mapping, roles: dict[str, str] = ROLES) -> Column:
+    """The turns of a record; get gives the value at a path as a type, ``roles`` other names of roles."""
 
     def text(path: str) -> Column:
         parts = [F.coalesce(get(p, "string"), F.lit("")) for p in path.split("+")]
@@ -93,8 +93,12 @@ def _turns(get: Callable[[str, str], Column], m: Mapping) -> Column:
         return lead
     path, role, said = m.items
     items = get(path, f"array<struct<{role}:string,{said}:string>>")
-    names = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
-    known = F.transform(items, lambda x: turn(F.coalesce(F.try_element_at(names, F.coalesce(x[role], F.lit(""))), x[role], F.lit("")), F.coalesce(x[said], F.lit(""))))
+    names = F.create_map(*[F.lit(x) for pair in roles.items() for x in pair])
+
+    def known_as(x: Column) -> Column:
+        return F.coalesce(F.try_element_at(names, F.coalesce(x, F.lit(""))), x, F.lit("")) if roles else F.coalesce(x, F.lit(""))
+
+    known = F.transform(items, lambda x: turn(known_as(x[role]), F.coalesce(x[said], F.lit(""))))
     return F.concat(lead, known) if m.lead else known
 
 
@@ -113,17 +117,30 @@ def canonical(records: DataFrame, json_col: str, mappings: tuple[Mapping, ...] =
     return out.withColumn("turns", turns.cast(_TURN)).drop("__value")
 
 
+def _fits(kind: StructType, m: Mapping) -> bool:
+    """Whether a struct has all the fields that a mapping reads."""
+    names = set(kind.names)
+    flat = {p for _, path in (*m.turns, *m.lead) for p in path.split("+")}
+    if not flat <= names or m.items and m.items[0] not in names:
+        return False
+    inner = kind[m.items[0]].dataType if m.items else None
+    return inner is None or isinstance(inner, ArrayType) and isinstance(inner.elementType, StructType) and set(m.items[1:]) <= set(inner.elementType.names)
+
+
 def canonical_struct(records: DataFrame, struct_col: str, mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """The same for a struct column, whose type has one layout for all records."""
-    paths = type_paths(records.schema[struct_col].dataType)
-    found = next((m for m in mappings if m.paths == paths), None)
+    """The same for a struct column, whose type has one layout for all records. Its roles are taken as they are: a table
+    of turns says who speaks."""
+    kind = records.schema[struct_col].dataType
+    out = records.withColumn("fingerprint", F.xxhash64(F.lit(type_paths(kind))))
 
     def get(path: str, kind: str) -> Column:
         value = F.col(f"`{struct_col}`.`{path}`")
         return value.cast(kind) if kind == "string" else value  # a cast of structs goes by place, not by name
 
-    turns = _turns(get, found) if found else F.lit(None)
-    return records.withColumn("fingerprint", F.xxhash64(F.lit(paths))).withColumn("turns", turns.cast(_TURN))
+    turns = F.lit(None).cast(_TURN)
+    for m in reversed([m for m in mappings if _fits(kind, m)]):
+        turns = F.when(F.col("fingerprint") == F.xxhash64(F.lit(m.paths)), _turns(get, m, {}).cast(_TURN)).otherwise(turns)
+    return out.withColumn("turns", turns)
 
 
 def escape(text: Column) -> Column:

@@ -256,7 +256,7 @@ def test_chat_long_texts(spark):
     done = chat.format_rows(rows.unionByName(many))
     got = {r.conv_id: r for r in chat.digest(done).collect()}
     assert (got[1].n_turns, got[1].loss_chars, got[2].n_turns, got[2].loss_chars) == (4, 21_000_002, 20000, 20000)
-    said = "".join(f"{role}\n{text}\n" for role, text in [("user", "ab"), ("assistant", "ab" * 10_500_000), ("user", "ab"), ("assistant", "ab")])
+    said = "".join(f"{role}\n{text}\n" for role, text in [("human", "ab"), ("assistant", "ab" * 10_500_000), ("human", "ab"), ("assistant", "ab")])
     assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     record = spark.createDataFrame([('{"messages":[{"role":"human","content":"q"}]}',)], "r string")
     assert {r.fingerprint for r in done.select("fingerprint").collect()} == {chat.canonical(record, "r").first().fingerprint}
