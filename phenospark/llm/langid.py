@@ -122,7 +122,8 @@ def fit(documents: DataFrame, *, sample: int = SAMPLE, id_col: str = "doc_id", t
     ids = docs.select("id", "lang", F.xxhash64("id", "lang").alias("h"))
     many = docs.groupBy("lang").agg(F.approx_count_distinct("id").alias("many"))
     share = F.expr("shiftrightunsigned(h, 1)") / F.lit(float(1 << 63))
-    low = ids.join(many, "lang").where(share * F.col("many") <= 2 * sample + 200).select("id", "lang", "h").distinct()
+    # A row for each language, of which the classifier itself holds 2**BITS weights each.
+    low = ids.join(F.broadcast(many), "lang").where(share * F.col("many") <= 2 * sample + 200).select("id", "lang", "h").distinct()
     ranked = low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))).where(F.col("r") <= sample)
     chosen = ranked.orderBy("r", "h", "id").limit(sample).select("id", "lang")
 
