@@ -12,17 +12,22 @@ def _count(when: Column) -> Column:
     return F.sum(F.when(when, 1).otherwise(0))
 
 
-BUCKETS = 1024
+#: Ranges of a group's distinct scores.
+BUCKETS = 256
 
 
 def by_score(rows: DataFrame, group: str) -> DataFrame:
-    """Positives and negatives of each distinct score: what rank metrics need, aggregated before any window."""
-    return rows.groupBy(group, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg")).withColumn("_b", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * BUCKETS).cast("int"))
+    """Positives and negatives of each distinct score: what rank metrics need, aggregated before any window, with the range
+    _b that the score lies in. Ranges hold about equally many of a group's scores, wherever they pile up."""
+    t = rows.groupBy(group, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    shares = F.array(*[F.lit(k / BUCKETS) for k in range(1, BUCKETS)])
+    cuts = t.groupBy(group).agg(F.percentile_approx("p", shares, F.lit(20 * BUCKETS)).alias("_cuts"))
+    return t.join(cuts, group).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("p")))).drop("_cuts")
 
 
 def _running(t: DataFrame, group: str, columns: list[str], rising: bool, inclusive: bool) -> DataFrame:
     """Running sums over a group's scores in order, without a group's scores in one task: sums before each of at most
-    BUCKETS + 1 ranges of scores, and windows within a range."""
+    BUCKETS ranges of scores, and windows within a range."""
     order = F.col("p") if rising else F.desc("p")
     bucket = F.col("_b") if rising else F.desc("_b")
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)

@@ -115,6 +115,28 @@ def test_models(spark):
     assert models.platt(df.where("y = 1").selectExpr("drug", "y", "0.5D as p"), ["drug"]).first().a is None
 
 
+def test_rank_metrics_of_piled_scores(spark):
+    """Scores near 0 and 1 spread over the ranges, and the metrics are those of a plain sort."""
+    rng = np.random.default_rng(9)
+    p = np.round(np.concatenate([rng.random(4000) ** 4 * 1e-5, 1 - rng.random(1500) * 1e-9, np.full(300, 0.5)]), 11)
+    y = (rng.random(len(p)) < 0.2 + 0.5 * (p > 0.4)).astype(int)
+    rows = spark.createDataFrame([("d", int(b), float(a)) for a, b in zip(p, y, strict=True)], "drug string, y int, p double")
+    per = [r["count"] for r in metrics.by_score(rows, "drug").groupBy("_b").count().collect()]
+    assert len(per) > 100 and max(per) < 0.05 * sum(per)
+    order = np.argsort(p, kind="stable")
+    ranks = np.empty(len(p))
+    for v in np.unique(p):
+        at = np.searchsorted(p[order], v), np.searchsorted(p[order], v, "right")
+        ranks[p == v] = (at[0] + at[1] + 1) / 2
+    n1 = y.sum()
+    want = (ranks[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+    assert abs(metrics.auroc(rows, "drug").first().auroc - want) < 1e-12
+    ap = 0.0
+    for v in np.unique(p):
+        ap += y[p == v].sum() / n1 * y[p >= v].sum() / (p >= v).sum()
+    assert abs(metrics.average_precision(rows, "drug").first().pr_auc - ap) < 1e-9
+
+
 def test_metrics_undefined(spark):
     df = spark.createDataFrame([("d", 1, 0.4, "likely_to_work"), ("d", 1, 0.9, "likely_to_fail")], "drug string, y int, p double, call string")
     assert metrics.auroc(df, "drug").first().auroc is None and metrics.decisions(df, "drug").first().bal_acc is None
