@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.constants import BRIDGE, INTRINSIC_COLUMNS
+from .lineage import cut
 
 
 def presence(hits: DataFrame) -> DataFrame:
@@ -113,16 +114,72 @@ def _profiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "genome_id").agg(F.array_sort(F.collect_set("feature")).alias("fs"))
 
 
+#: Radii of the search for nearest profiles; beyond the last, and where no open one is beyond the first, rare features alone decide.
+RADII = (7, 31)
+#: Rows of one token that a task joins; those of a commoner one are dealt out.
+SPLIT = 1024
+
+
+def _bands(radius: int) -> Column:
+    """Hashes of what a profile has in each of radius + 1 classes of features: two profiles that differ in ``radius``
+    features at most have the same in one of them."""
+    n = radius + 1
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda b: F.xxhash64(b, F.filter("fs", lambda x: F.pmod(F.xxhash64(x), F.lit(n)).cast("int") == b)))
+
+
+def _rarest_first(profiles: DataFrame, common: DataFrame, keys: list[str]) -> DataFrame:
+    """Profiles with r, their features and how many training profiles hold each (df), rarest first."""
+    rows = profiles.withColumn("feature", F.explode_outer("fs")).join(common, [*keys, "feature"], "left")
+    held = F.when(F.col("feature").isNotNull(), F.struct(F.coalesce("df", F.lit(0)).alias("df"), "feature"))
+    return rows.groupBy(*profiles.columns).agg(F.array_sort(F.collect_list(held)).alias("r"))
+
+
+def _closer(open_: DataFrame, t: DataFrame, keys: list[str], radius: int | None) -> DataFrame:
+    """keys, fs, d: the least distance to the training profiles that may lie within ``radius`` (none: closer than best).
+
+    A query asks for its bands or for its x + 1 rarest features, whichever fewer training profiles hold: a profile at x or
+    less lacks x of its features at most. The first feature that two such profiles share, in the one order of all features,
+    stands early in both; where a query has no more than x features, a profile that shares none is no closer than best."""
+    x = F.col("best") - 1 if radius is None else F.least(F.col("best") - 1, F.lit(radius))
+    early = F.col("r") if radius is None else F.slice("r", 1, radius + 1)
+    token = F.xxhash64(F.lit("feature"), F.col("z.feature")).alias("token")
+    wanted = open_.withColumn("x", x.cast("int")).withColumn("r", F.slice("r", F.lit(1), F.col("x") + 1))
+    index = t.select(*keys, F.col("fs").alias("ts"), "m", F.posexplode(early).alias("j", "z")).select(*keys, "ts", "m", "j", token, F.col("z.df").alias("df"))
+    by_feature = wanted
+    asked = []
+    if radius is not None:
+        bands = t.select(*keys, F.col("fs").alias("ts"), "m", F.lit(None).cast("int").alias("j"), F.explode(_bands(radius)).alias("token"))
+        counted = bands.groupBy(*keys, "token").agg(F.count("*").alias("df"))
+        wide = wanted.select(*keys, "fs", "n", "x", "r", F.explode(_bands(radius)).alias("token")).join(counted, [*keys, "token"], "left")
+        both = wide.groupBy(*keys, "fs", "n", "x", "r").agg(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "token"))).alias("z"), F.coalesce(F.sum("df"), F.lit(0)).alias("cost"))
+        both = both.withColumn("banded", F.col("cost") < F.aggregate("r", F.lit(0).cast("long"), lambda a, z: a + z["df"]))
+        by_feature = both.where("not banded")
+        asked = [both.where("banded").select(*keys, "fs", "n", "x", F.lit(None).cast("int").alias("i"), F.explode("z").alias("z")).select(*keys, "fs", "n", "x", "i", F.col("z.token").alias("token"), F.col("z.df").alias("df"))]
+        index = index.unionByName(bands.join(counted, [*keys, "token"]))
+    rare = by_feature.select(*keys, "fs", "n", "x", F.posexplode("r").alias("i", "z")).where("z.df > 0").select(*keys, "fs", "n", "x", "i", token, F.col("z.df").alias("df"))
+    for more in asked:
+        rare = rare.unionByName(more)
+    parts = F.ceil(F.col("df") / SPLIT).cast("int")
+    questions = rare.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("df")
+    dealt = index.withColumn("part", F.pmod(F.xxhash64("ts"), parts).cast("int")).drop("df")
+    late = F.expr("i + j > x or 2 * i > n - m + x or 2 * j > m - n + x")
+    # Few bytes make many pairs here: a stated number of partitions keeps adaptive execution from putting them in one task.
+    conf = t.sparkSession.conf
+    number = max(int(conf.get("spark.sql.shuffle.partitions")), t.sparkSession.sparkContext.defaultParallelism)
+    met = questions.repartition(number, *keys, "token", "part").join(dealt, [*keys, "token", "part"]).where("abs(n - m) <= x").where(~F.coalesce(late, F.lit(False)))
+    return met.groupBy(*keys, "fs").agg(F.min(F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("fs", "ts"))).alias("d"))
+
+
 def nearest_by_key(queries: DataFrame, train: DataFrame, keys: list[str]) -> DataFrame:
     """The same within each combination of keys (not null).
 
     Equal profiles are one on either side. Profiles are looked up by themselves and by what is left when one feature
-    goes: that finds all at distance 1 or less, and tells that others are at 2 or more. Only queries that are farther
-    then meet training profiles that share one of the ``best`` rarest of their features, where best is the distance that
-    they have to beat: a closer profile lacks fewer than best of them. Profiles that share nothing need only the smallest."""
-    q = _profiles(queries, keys).withColumn("n", F.size("fs"))
+    goes: that finds all at distance 1 or less, and tells that others are at 2 or more. Those that may be nearer than found
+    are looked for in growing radii, by bands of their features or by their rarest ones; profiles that share nothing need
+    only the smallest. Rows of a feature that very many profiles hold are dealt over tasks, and pairs are never shuffled."""
+    q = cut(_profiles(queries, keys).withColumn("n", F.size("fs")))
     profiles = q.select(*keys, "fs", "n").distinct()
-    t = _profiles(train, keys).select(*keys, "fs").distinct().withColumn("m", F.size("fs"))
+    t = cut(_profiles(train, keys).select(*keys, "fs").distinct().withColumn("m", F.size("fs")))
     least = t.groupBy(*keys).agg(F.min("m").alias("least"))
 
     def signatures(rows: DataFrame) -> DataFrame:
@@ -132,16 +189,18 @@ def nearest_by_key(queries: DataFrame, train: DataFrame, keys: list[str]) -> Dat
     held = signatures(t).groupBy(*keys, "s").agg(F.min("gone").alias("there"))
     near = signatures(profiles).join(held, [*keys, "s"]).groupBy(*keys, "fs").agg(F.min(F.col("gone") + F.col("there")).alias("near"))
     far = F.col("n") + F.col("least")
-    sofar = profiles.join(F.broadcast(least), keys).join(near, [*keys, "fs"], "left").withColumn("best", F.least(F.coalesce("near", far), far))
-    open_ = sofar.where("best > 2")
+    known = cut(profiles.join(least, keys).join(near, [*keys, "fs"], "left").select(*keys, "fs", "n", F.least(F.coalesce("near", far), far).alias("best")))
     common = t.select(*keys, F.explode("fs").alias("feature")).groupBy(*keys, "feature").agg(F.count("*").alias("df"))
-    rare = open_.select(*keys, "fs", "n", "best", F.explode("fs").alias("feature")).join(common, [*keys, "feature"])
-    ranked = rare.groupBy(*keys, "fs", "n", "best").agg(F.array_sort(F.collect_list(F.struct("df", "feature"))).alias("r"), F.count("*").alias("there"))
-    # Features that no training profile has count as lacking.
-    few = F.greatest(F.col("best") - (F.col("n") - F.col("there")), F.lit(0)).cast("int")
-    asked = ranked.where(few > 0).select(*keys, "fs", "n", "best", F.explode(F.slice("r", F.lit(1), F.least(few, F.size("r")))).alias("x")).select(*keys, "fs", "n", "best", F.col("x.feature").alias("feature"))
-    index = t.select(*keys, F.col("fs").alias("ts"), "m", F.explode("fs").alias("feature"))
-    met = asked.join(index, [*keys, "feature"]).where("abs(n - m) < best").select(*keys, "fs", "n", "m", "ts").distinct()
-    closer = met.select(*keys, "fs", (F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("fs", "ts"))).alias("d")).groupBy(*keys, "fs").agg(F.min("d").alias("d"))
-    done = sofar.join(closer, [*keys, "fs"], "left").select(*keys, "fs", F.least("best", F.coalesce("d", "best")).cast("long").alias("distance"))
-    return q.join(done, [*keys, "fs"]).select(*keys, "genome_id", "distance")
+    ordered = None
+    searched = 1
+    for radius in (*RADII, None):
+        farthest = known.agg(F.max("best")).first()[0]
+        if farthest is None or farthest <= searched + 1:
+            break
+        open_ = _rarest_first(known.where(F.col("best") > searched + 1), common, keys)
+        ordered = cut(_rarest_first(t, common, keys)) if ordered is None else ordered
+        within = radius if farthest > RADII[0] + 1 else None
+        found = _closer(open_, ordered, keys, within)
+        searched = farthest if within is None else within
+        known = cut(known.join(found, [*keys, "fs"], "left").select(*keys, "fs", "n", F.least("best", F.coalesce("d", "best")).alias("best")))
+    return q.join(known.select(*keys, "fs", F.col("best").cast("long").alias("distance")), [*keys, "fs"]).select(*keys, "genome_id", "distance")

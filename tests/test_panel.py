@@ -280,6 +280,18 @@ def test_nearest_profiles(spark):
         assert {r.genome_id: r.distance for r in features.nearest_hamming(frame(q), frame(t)).collect()} == _brute_near(q, t)
 
 
+def test_nearest_of_a_hot_feature(spark, monkeypatch):
+    """Every profile holds one feature, most are far from any other, and a token's rows are dealt in threes: all radii and parts
+    are met, and no task of the join has a token whole."""
+    monkeypatch.setattr(features, "SPLIT", 3)
+    rng = np.random.default_rng(11)
+    for most, low, high in ((60, 2, 8), (60, 5, 40), (200, 20, 60)):
+        draw = lambda k: {f"g{i}": frozenset(["hot", *(f"f{x}" for x in rng.choice(most, int(rng.integers(low, high)), replace=False))]) for i in range(k)}
+        q, t = draw(40), draw(30)
+        frame = lambda d: spark.createDataFrame([(i, f) for i, x in d.items() for f in x], "genome_id string, feature string")
+        assert {r.genome_id: r.distance for r in features.nearest_hamming(frame(q), frame(t)).collect()} == _brute_near(q, t)
+
+
 def test_random_split(spark):
     rows = spark.range(1000).select(F.lit("d").alias("drug"), (F.col("id") % 2).cast("int").alias("seed"), F.col("id").cast("string").alias("genome_id"))
     sizes = spark.createDataFrame([("d", 0, 300, 100), ("d", 1, 250, 125)], "drug string, seed int, train long, calibration long")
