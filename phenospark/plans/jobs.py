@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import SEEDS, SPECIES
 from ..operators import build, contract, features, report, similarity, splits
 from ..sources import dataset, readers
+from ..streaming import scoring
 from . import evaluation, panel
 
 
@@ -78,7 +79,7 @@ def clusters(spark: SparkSession, fasta: str, out: str) -> None:
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="phenospark")
     todo = parser.add_subparsers(dest="job", required=True)
-    for name, options in {"read": ("tsv", "out"), "evaluate": ("data", "out"), "fit": ("data", "panel"), "report": ("panel", "tsv", "out"), "build": ("ids", "cache", "out"), "adapt": ("archive", "labels", "clusters", "out"), "clusters": ("fasta", "out")}.items():
+    for name, options in {"read": ("tsv", "out"), "evaluate": ("data", "out"), "fit": ("data", "panel"), "report": ("panel", "tsv", "out"), "build": ("ids", "cache", "out"), "adapt": ("archive", "labels", "clusters", "out"), "clusters": ("fasta", "out"), "follow": ("panel", "tsv", "out", "checkpoint")}.items():
         sub = todo.add_parser(name)
         for o in options:
             sub.add_argument(f"--{o}", required=True)
@@ -98,5 +99,9 @@ def main(argv: list[str] | None = None) -> None:
         adapt(spark, args.archive, args.labels, args.clusters.split(","), args.out)
     elif args.job == "clusters":
         clusters(spark, args.fasta, args.out)
+    elif args.job == "follow":
+        fitted = panel.engine(spark, args.panel)
+        scoring.follow(spark, fitted, args.tsv, args.out, args.checkpoint).awaitTermination()
+        scoring.empty(spark, fitted, args.tsv, args.out)
     else:
         reports(spark, panel.engine(spark, args.panel), args.tsv).write.mode("overwrite").json(args.out)

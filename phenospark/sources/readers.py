@@ -69,10 +69,14 @@ def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
     Files are read as lines, each with its own header, so that those of old and new versions may lie in one folder. A
     header without a needed column raises when the hits are read."""
-    listed = files(spark, path, [TSV])
-    genomes = listed.select("genome_id")
-    name = F.col("_metadata.file_name")
-    lines = spark.read.option("pathGlobFilter", TSV).text(path, wholetext=True).select(F.regexp_replace(name, r"\.amrfinder\.tsv$", "").alias("genome_id"), F.split(F.regexp_replace("value", r"^\x{FEFF}|\r", ""), "\n").alias("lines"))
+    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.amrfinder\.tsv$", "")
+    whole = spark.read.option("pathGlobFilter", TSV).text(path, wholetext=True).select(name.alias("genome_id"), "value")
+    return files(spark, path, [TSV]).select("genome_id"), annotated(whole)
+
+
+def annotated(whole: DataFrame) -> DataFrame:
+    """Hits of annotation files (genome_id, value: a file's whole text); see ``annotations``."""
+    lines = whole.select("genome_id", F.split(F.regexp_replace("value", r"^\x{FEFF}|\r", ""), "\n").alias("lines"))
     split = lines.select("genome_id", F.split(F.get("lines", F.lit(0)), "\t").alias("head"), F.posexplode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))).alias("at", "line")).where("line <> ''")
     cells = split.withColumn("cells", F.split("line", "\t"))
 
@@ -82,7 +86,7 @@ def annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             place = F.coalesce(place, F.raise_error(F.concat(F.lit(f"none of {COLUMNS[kind]} in the header of "), F.col("genome_id"))).cast("long"))
         return F.get("cells", (place - 1).cast("int")).alias(kind)
 
-    return genomes, cells.select("genome_id", *map(cell, COLUMNS), F.struct("genome_id", "at").alias("pos"))
+    return cells.select("genome_id", *map(cell, COLUMNS), F.struct("genome_id", "at").alias("pos"))
 
 
 FASTA = ["*.fna", "*.fasta", "*.fa"]
