@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MASH_K, MASH_THRESHOLD, SKETCH
 from ..functions.scores import mash_distance, mash_jaccard
 from . import sets
-from .lineage import cut
+from .lineage import cut, drop
 
 #: Least tokens of a set that the index holds, and the chance with which a pair at the threshold may be missed.
 KEYS, MISS = 64, 1e-9
@@ -27,21 +27,21 @@ def surely_shared(size: int, share: float) -> int:
     return c
 
 
-def heads(tokens: DataFrame) -> DataFrame:
+def heads(tokens: DataFrame, size: int = SKETCH) -> DataFrame:
     """One row (id, n, f1, f2, sketch) for each set that isn't empty."""
-    return tokens.where("sketch is not null and n > 0").select("id", "n", "f1", "f2", "sketch")
+    return sets.heads(tokens, size)
 
 
-def classes(tokens: DataFrame) -> DataFrame:
-    """(id, rep): equal sets are one class, told by its smallest id."""
-    found = heads(tokens).select("id", "n", "f1", "f2")
+def classes(known: DataFrame) -> DataFrame:
+    """(id, rep) of heads: equal sets are one class, told by its smallest id."""
+    found = known.select("id", "n", "f1", "f2")
     reps = found.groupBy("n", "f1", "f2").agg(F.min("id").alias("rep"))
     return found.join(reps, ["n", "f1", "f2"]).select("id", "rep")
 
 
-def representatives(tokens: DataFrame, member: DataFrame) -> DataFrame:
+def representatives(known: DataFrame, member: DataFrame) -> DataFrame:
     """(id, n, keys) of one set of each class."""
-    return heads(tokens).select("id", "n", F.slice("sketch", 1, KEYS).alias("keys")).join(member.where("id = rep").select("id"), "id")
+    return known.select("id", "n", F.col("sketch").alias("keys")).join(member.where("id = rep").select("id"), "id")
 
 
 def index(reps: DataFrame, t: float) -> DataFrame:
@@ -59,19 +59,18 @@ def index(reps: DataFrame, t: float) -> DataFrame:
     return ranked.select("id", "n", F.explode(first).alias("t")).select("id", "n", F.col("t.token").alias("token"))
 
 
-def verified(tokens: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """(a, b, jaccard) of the pairs (a, b) of at least ``t``, exactly; sketches rule out most others before the sets are
-    fetched, part by part, so that no set is a row."""
-    known = heads(tokens)
-    x, y = (known.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    may = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= F.when(F.size(union) < SKETCH, 0).otherwise(surely_shared(SKETCH, t))
+def verified(tokens: DataFrame, reps: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """(a, b, jaccard) of the pairs (a, b) of at least ``t``, exactly; the keys of reps (id, n, keys) rule out most others before
+    sets are made again for the rest."""
+    x, y = (reps.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("keys").alias(f"s{c}")) for c in "ab")
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, KEYS)
+    may = F.size(F.array_intersect(union, F.array_intersect("sa", "sb"))) >= F.when(F.size(union) < KEYS, 0).otherwise(surely_shared(KEYS, t))
     pairs = cut(pairs)  # of known size, so that few pairs are broadcast and no set is shuffled for them
     near = pairs.join(x, "a").join(y, "b").where(F.least("na", "nb") >= F.lit(t - 1e-9) * F.greatest("na", "nb")).where(may).select("a", "b", "na", "nb")
     near = cut(near)
-    u, v = (tokens.select(F.col("id").alias(c), "part", F.col("tokens").alias(f"t{c}")) for c in "ab")
-    both = near.join(u, "a").join(v, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("i"))
-    return both.groupBy("a", "b", "na", "nb").agg(F.sum("i").alias("i")).select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
+    drop(pairs)
+    both = near.join(sets.shared(tokens, near.select("a", "b")), ["a", "b"])
+    return both.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
 
 
 def _sides(held: DataFrame, *more: str) -> list[DataFrame]:
@@ -82,11 +81,13 @@ def similar_pairs(tokens: DataFrame, threshold: float, k: int) -> DataFrame:
     """(a, b, jaccard, distance) of all pairs of sets (of sets.kmers or sets.shingles) closer than a Mash distance. Classes of
     equal sets meet once; their pairs are spread over the members at the end, since all pairs are asked for."""
     t = mash_jaccard(threshold, k)
-    member = cut(classes(tokens))
-    reps = representatives(tokens, member)
+    known = cut(heads(tokens, KEYS))
+    member = cut(classes(known))
+    reps = cut(representatives(known, member))
+    drop(known)
     x, y = _sides(cut(index(reps, t)))
     pairs = x.join(y, "token").where("a < b").where(F.least("na", "nb") >= F.lit(t - 1e-9) * F.greatest("na", "nb")).select("a", "b").distinct()
-    near = cut(verified(tokens, pairs, t))
+    near = cut(verified(tokens, reps, pairs, t))
     u, v = (member.select(F.col("rep").alias(c), F.col("id").alias(f"m{c}")) for c in "ab")
     spread = near.join(u, "a").join(v, "b").select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b"), "jaccard")
     same = u.join(v.withColumnRenamed("b", "a"), "a").where("ma < mb").select(F.col("ma").alias("a"), F.col("mb").alias("b"), F.lit(1.0).alias("jaccard"))
@@ -99,12 +100,14 @@ def linked(tokens: DataFrame, threshold: float, k: int) -> DataFrame:
     All holders of a token are compared with one of them first; only holders that are still apart then are compared with
     each other, so that a large group of near copies takes as many comparisons as it has members."""
     t = mash_jaccard(threshold, k)
-    member = cut(classes(tokens))
-    reps = representatives(tokens, member)
+    known = cut(heads(tokens, KEYS))
+    member = cut(classes(known))
+    reps = cut(representatives(known, member))
+    drop(known)
     held = cut(index(reps, t))
 
     def near(pairs: DataFrame) -> DataFrame:
-        return cut(verified(tokens, pairs.distinct(), t).withColumn("distance", mash_distance(F.col("jaccard"), k)).where(F.col("distance") < threshold).select("a", "b"))
+        return cut(verified(tokens, reps, pairs.distinct(), t).withColumn("distance", mash_distance(F.col("jaccard"), k)).where(F.col("distance") < threshold).select("a", "b"))
 
     hubs = held.groupBy("token").agg(F.min("id").alias("a"))
     edges = near(held.join(hubs, "token").select("a", F.col("id").alias("b")).where("a <> b"))
@@ -133,7 +136,8 @@ def connected(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p")).select("p.*")
-        e = cut(small.where("u <> v").distinct())
+        past, e = e, cut(small.where("u <> v").distinct())
+        drop(past)
         hung = e.groupBy("u").agg(F.count("*").alias("n")).join(e.select(F.col("v").alias("u")).distinct().withColumn("root", F.lit(1)), "u", "left")
         if not hung.where("n > 1 or root = 1").limit(1).count():
             return nodes.join(e, nodes["id"] == e["u"], "left").select("id", F.coalesce("v", "id").alias("root"))
