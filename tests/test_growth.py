@@ -31,3 +31,14 @@ def test_pairs_of_one_set_are_dealt(spark, monkeypatch):
     pairs = spark.createDataFrame([(0, i) for i in range(1, 12)] + [(0, 20), (20, 21)], "a long, b long")
     truth = {i: {tuple(w[p : p + 3]) for p in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in texts)}
     assert {(r.a, r.b): r.i for r in sets.shared(table, pairs).collect()} == {(r.a, r.b): len(truth[r.a] & truth[r.b]) for r in pairs.collect()}
+
+
+def test_sketches_write_nothing(spark):
+    """A sketch needs its least tokens only, so no table is written for it."""
+    rng = random.Random(7)
+    seqs = spark.createDataFrame([(i, "".join(rng.choice("ACGT") for _ in range(5_000))) for i in range(8)], "id long, sequence string")
+    folder = Path(lineage.shared(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = {r.id: r.sketch for r in similarity.sketch(sets.kmers(seqs, 21)).collect()}
+    assert set(folder.iterdir()) == before
+    assert got == {r.id: sorted(r.tokens)[:256] for r in sets.kmers(seqs, 21).collect()}
