@@ -42,3 +42,16 @@ def test_sketches_write_nothing(spark):
     got = {r.id: r.sketch for r in similarity.sketch(sets.kmers(seqs, 21)).collect()}
     assert set(folder.iterdir()) == before
     assert got == {r.id: sorted(r.tokens)[:256] for r in sets.kmers(seqs, 21).collect()}
+
+
+def test_components_write_less_than_texts(spark):
+    """Links of texts write no shingles, and past rounds of the components are deleted."""
+    rng = random.Random(8)
+    texts = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(4_000))) for i in range(30)]
+    texts += [(100 + i, x + " one more") for i, x in texts[:5]]
+    folder = Path(lineage.shared(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = size()
+    got = {r.id: r.root for r in similarity.linked(sets.shingles(spark.createDataFrame(texts, "id long, text string"), 5), 0.02, 5).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in texts}
+    assert size() - before < sum(len(x) for _, x in texts) / 4
