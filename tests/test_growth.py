@@ -55,3 +55,17 @@ def test_components_write_less_than_texts(spark):
     got = {r.id: r.root for r in similarity.linked(sets.shingles(spark.createDataFrame(texts, "id long, text string"), 5), 0.02, 5).collect()}
     assert got == {i: i - 100 if i >= 100 else i for i, _ in texts}
     assert size() - before < sum(len(x) for _, x in texts) / 4
+
+
+def test_cut_collects_garbage(spark, monkeypatch):
+    """The driver's garbage is collected after a table is written, but only where the heap has grown."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    monkeypatch.setattr(lineage, "FULL", 0.0)
+    before = full()
+    table = lineage.cut(spark.range(10))
+    assert full() > before and table.count() == 10
+    monkeypatch.setattr(lineage, "FULL", 2.0)
+    before = full()
+    lineage.cut(spark.range(10))
+    assert full() == before
