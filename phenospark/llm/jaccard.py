@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +177,21 @@ def _sift(percent: int):
     return scan
 
 
+def _held(table: DataFrame, common: DataFrame) -> DataFrame:
+    """token, place, node of the prefix tokens (node, tokens) that may be common: most have one holder and are not moved."""
+    bits = C.id_filter(F.col("token"), common)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            n = pc.list_value_length(lists).to_numpy()
+            keep = np.flatnonzero(C.passes(bits, batch.column(2).flatten().to_numpy()))
+            place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([lists.flatten().take(pa.array(keep)), pa.array(place[keep]), pa.array(np.repeat(batch.column(0).to_numpy(), n)[keep])], names=["token", "place", "node"])
+
+    return table.select("node", "tokens", F.transform("tokens", lambda t: C.slot_of(t, bits))).mapInArrow(scan, "token long, place int, node long")
+
+
 def components(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links) of every row with an id or not."""
     docs = documents.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -200,9 +216,9 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
     table = texts.mapInArrow(_prefixes(shingle, percent, counts), "node long, print string, tokens array<long>, sketch array<int>, map array<long>, third binary").where("size(tokens) > 0")
     table = C.materialize(table.join(reps, ["node", "print"]).drop("print"))
     held = table.select(F.posexplode("tokens").alias("place", "token"), "node")
-    # One shuffle of all prefix tokens at a time, each gone before the next; what comes of them is far smaller.
+    # One shuffle of all prefix tokens at a time, each gone before the next; the second moves few but common ones.
     common = C.materialize(held.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token", "m"))
-    places = C.materialize(held.join(common, "token"))
+    places = C.materialize(_held(table, common).join(common, "token"))
     sketches = C.materialize(table.select("node", "n", "map", "sketch", "third"))
     C.drop(table, common)
     posts = C.materialize(places.join(sketches.select("node", "n", "map"), "node"))

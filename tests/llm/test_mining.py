@@ -256,3 +256,15 @@ def test_edges(spark):
     assert {r.score for r in quality.score(table, quality.fit(table, nothing)).collect()} == {0.5}
     same = docs(spark, ["b b b", "b b b", None], ids=[7, 7, None])
     assert runs.digest(runs.find(same)).count() == 3 and quality.digest(quality.score(same, model)).count() == 3
+
+
+def test_jaccard_moves_common_tokens_only(spark):
+    """Prefix tokens of one holder are not shuffled with the others; places and holders of common ones stay."""
+    from phenospark.llm import jaccard as J
+
+    rows = [(i, [7, *range(1000 * i, 1000 * i + 100), -i % 2]) for i in range(1, 41)]
+    table = spark.createDataFrame(rows, "node long, tokens array<long>")
+    common = spark.createDataFrame([(7, 40), (0, 20), (1, 20)], "token long, m long")
+    got = {(r.token, r.place, r.node) for r in J._held(table, common).collect()}
+    asked = {(t, k, i) for i, ts in rows for k, t in enumerate(ts) if t in (0, 1, 7)}
+    assert asked <= got and len(got) < len(asked) + 40
