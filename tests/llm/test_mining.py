@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from phenospark.llm import common as C
 from phenospark.llm import phrases, quality, queries, runs
@@ -268,3 +269,34 @@ def test_jaccard_moves_common_tokens_only(spark):
     got = {(r.token, r.place, r.node) for r in J._held(table, common).collect()}
     asked = {(t, k, i) for i, ts in rows for k, t in enumerate(ts) if t in (0, 1, 7)}
     assert asked <= got and len(got) < len(asked) + 40
+
+
+def test_id_filter_is_packed_in_tasks(spark, monkeypatch):
+    """The driver gets a filter's bytes in few rows, not a row for each word of it."""
+    kind, sent = type(spark.range(0)), []
+    for name in ("collect", "toPandas"):
+
+        def told(self, f=getattr(kind, name)):
+            got = f(self)
+            sent.append(len(got))
+            return got
+
+        monkeypatch.setattr(kind, name, told)
+    bits = C.id_filter(F.col("id"), spark.range(200_000))
+    assert sum(sent) <= 32 * len(bits) / C.BLOCK_BITS
+    assert spark.range(200_000).select(C.slot_of(F.col("id"), bits).alias("s")).toPandas().s.map(lambda s: C.passes(bits, np.array([s]))[0]).all()
+    assert sum(int(x).bit_count() for x in bits) <= 200_000
+
+
+def test_materialize_collects_garbage(spark, monkeypatch):
+    """The driver's garbage is collected after a table is written, but only where the heap has grown."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: sum(b.getCollectionCount() for b in beans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    monkeypatch.setattr(C, "FULL", 0.0, raising=False)
+    before = full()
+    C.materialize(spark.range(10))
+    assert full() > before
+    monkeypatch.setattr(C, "FULL", 2.0)
+    before = full()
+    C.materialize(spark.range(10))
+    assert full() == before
