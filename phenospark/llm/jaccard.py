@@ -11,7 +11,8 @@ hashes under the third. Tokens of at most ``SMALL`` holders make all their pairs
 places in both sets leave room for enough common ones after it: the first common token of two similar sets does, whatever
 other tokens they share; and where the bitmaps of both sets differ in no more places than the sets may differ in tokens.
 What these allow must share under the second order, too, as many as two sets so similar cannot fail to share, and a token
-under the third; only then are whole sets fetched and compared. Sets and sketches are fetched for the documents of
+under the third; only then are whole sets fetched and compared, for one pair of each document first, then for the pairs that
+these links do not join already. Sets and sketches are fetched for the documents of
 candidate pairs alone, by an id filter before the shuffle, and each round's tables are deleted once they are read.
 
 A token that more sets hold makes no pairs of all of them. Rounds do most of the work, and links found become components:
@@ -232,7 +233,7 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         return pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among distinct (u, nu, v, nv): by sketches, then by whole sets of those that pass."""
+        """Links among distinct (u, nu, v, nv), enough for their components: by sketches, then by whole sets of those that pass."""
         pairs = C.materialize(pairs)
         some = C.only(sketches.select("node", "sketch", "third"), "node", C.id_filter(F.col("node"), ends(pairs)))
         both = pairs.join(some.toDF("u", "x", "tx"), "u").join(some.toDF("v", "y", "ty"), "v")
@@ -240,11 +241,25 @@ def _links(docs: DataFrame, told: DataFrame, reps: DataFrame, shingle: int, perc
         nodes = ends(near)
         sets = C.only(texts.select(F.col("doc_id").alias("node"), "text"), "node", C.id_filter(F.col("node"), nodes), _sets(shingle), "node long, print string, tokens array<long>")
         sets = C.materialize(sets.join(reps.join(nodes, "node", "left_semi").select("node", "print"), ["node", "print"]).groupBy("node").agg(F.first("tokens").alias("tokens")))
-        both = near.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
-        both = both.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
-        found = C.materialize(both.where(f"100 * common >= {percent} * (n - common)").select("u", "v"))
+
+        def compared(some: DataFrame) -> DataFrame:
+            both = some.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v")
+            both = both.select("u", "v", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("common"))
+            found = C.materialize(both.where(f"100 * common >= {percent} * (n - common)").select("u", "v"))
+            read.append(found)
+            return found
+
+        # Sets are brought to each pair: first to one of each node's, then to those that these links do not join already.
+        first = near.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+        found = compared(first)
+        up = found.select(F.col("v").alias("x"), F.col("u").alias("top"))
+        top = up.join(up.toDF("top", "over"), "top", "left").select("x", F.coalesce("over", "top").alias("top"))
+        apart = near.join(first, ["u", "v"], "left_anti").join(top.toDF("u", "a"), "u", "left").join(top.toDF("v", "b"), "v", "left")
+        rest = C.materialize(apart.where("coalesce(a, u) <> coalesce(b, v)").select("u", "v"))
+        if not rest.isEmpty():
+            found = found.unionByName(compared(rest))
+        C.drop(rest)
         C.drop(pairs, near, sets)
-        read.append(found)
         return found
 
     def side(rows: DataFrame, x: str, *keys) -> DataFrame:

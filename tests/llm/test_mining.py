@@ -300,3 +300,17 @@ def test_materialize_collects_garbage(spark, monkeypatch):
     before = full()
     C.materialize(spark.range(10))
     assert full() == before
+
+
+def test_jaccard_brings_sets_to_few_pairs(spark, monkeypatch):
+    """Of a group of near copies not all pairs are compared, only so many that none stands apart."""
+    from phenospark.llm import jaccard as J
+
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join([*words[:k], f"x{k}", *words[k + 1 :]]) for k in range(20, 140, 10)]
+    texts += [" ".join(f"{c}{i}" for i in range(200)) for c in "yz"] + [" ".join(f"y{i}" for i in range(199))]
+    edges, components = [], C.components
+    monkeypatch.setattr(C, "components", lambda e, *a: (edges.append(e.count()), components(e, *a))[1])
+    got = {r.doc_id: r.component_id for r in J.components(docs(spark, texts), shingle=3, percent=90).collect()}
+    assert got == {i: 0 if i < 12 else 12 if i in (12, 14) else i for i in range(15)}
+    assert max(edges) < 2 * 12
