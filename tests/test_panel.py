@@ -481,3 +481,12 @@ def test_jobs(spark, fitted, tmp_path):
     jobs.build_from_cache(spark, ids, f"{tmp_path}/cache", f"{tmp_path}/built", lambda endpoint, query: json.dumps(answers[endpoint]))
     again = dataset.load(spark, f"{tmp_path}/built")
     assert {tuple(r) for r in again.features.collect()} == {("1.10", "blaX")} and again.labels.count() == 2
+
+
+def test_panel_evaluation_scores_rows_once(spark):
+    """Metrics read scored rows from a table; no branch of the driver's last plan goes back to the sources."""
+    from phenospark.plans import panel_queries
+
+    told = panel_queries.panel_evaluation(spark, "/root/testdata/sf0.001")
+    assert told.count() == 2
+    assert not [f for f in told.inputFiles() if "/root/testdata" in f]
