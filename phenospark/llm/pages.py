@@ -9,12 +9,14 @@ are copies of each other form a run, and the partners of its pages lie outside i
 is kept whole, so that pages whose own text is less than a tenth keep their boilerplate.
 
 Differencing alone gives wrong text where menus, adverts or footers differ from page to page, or where partners carry the
-same article; so roles from the markup go with it. Blocks in navigation, page headers and footers, sidebars, notices,
-adverts, forms, scripts, styles and comments are never text. Where a page marks its article (``article`` or ``main``),
-the blocks inside are the text, shared or not. On the other pages the blocks that the partner doesn't share are.
+same article; so every page is differenced, and roles from the markup of both pages check the outcome. Blocks in
+navigation, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comments are never text, nor
+are those outside of an article that the page marks (``article`` or ``main``). A shared line stays text where the partner
+has it in a marked article, too; in a page's own article it only goes where the partner marks an article and has the line
+in plain blocks outside.
 
 Pairs are made in a range partition of the sorted pages, not in a task for each host; only line hashes move, and the
-blocks of pages that depend on their partner.
+blocks of pages that lose lines where these are too many to be broadcast.
 
 Defined cases: null pages and pages without text give an empty string; null URLs are of one host of their own; a page
 alone in its host has no partner; repeated rows are pages each; of partners with equally long common paths the one before
@@ -225,25 +227,22 @@ def _line(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-_BLOCKS = pa.list_(pa.struct([("role", pa.int32()), ("text", pa.string())]))
-
-
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text of marked articles, the other blocks' hashes, and the blocks themselves where a partner decides."""
+    """Hashes, characters and roles of all blocks, and the texts of those that the markup allows (else null)."""
     for batch in batches:
         for a, b, _, _ in C.slices(batch.column(1)):
-            texts, lines, sizes, kept = [], [], [], []
+            lines, sizes, roles, texts = [], [], [], []
             for page in batch.column(1).slice(a, b - a).to_pylist():
                 got = blocks(page)
-                main = [t for r, t in got if r == ARTICLE]
-                texts.append(" ".join(main) if main else None)
-                lines.append([_line(t) for r, t in got if r != ARTICLE])
-                sizes.append(None if main else [len(t) if r == PLAIN else 0 for r, t in got])
-                kept.append(None if main else [{"role": r, "text": t} for r, t in got])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(batch.column(k).slice(a, b - a) for k in (2, 3, 4)), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(kept, _BLOCKS)], names=["key", "page_id", "url", "path", "text", "lines", "sizes", "blocks"])
+                said = ARTICLE if any(r == ARTICLE for r, _ in got) else PLAIN
+                lines.append([_line(t) for _, t in got])
+                sizes.append([0 if r == NOISE else len(t) for r, t in got])
+                roles.append([r for r, _ in got])
+                texts.append([t if r == said else None for r, t in got])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(batch.column(k).slice(a, b - a) for k in (2, 3, 4)), pa.array(lines, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(roles, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], names=["key", "page_id", "url", "path", "lines", "sizes", "roles", "texts"])
 
 
-_PARSED = "key long, page_id long, url string, path string, text string, lines array<long>, sizes array<int>, blocks array<struct<role:int,text:string>>"
+_PARSED = "key long, page_id long, url string, path string, lines array<long>, sizes array<int>, roles array<int>, texts array<string>"
 
 
 def _prefix(a: str, b: str) -> int:
@@ -262,19 +261,26 @@ def _held(lines: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> tuple[list
 
 
 def _copies(a: tuple, b: tuple) -> bool:
-    """Whether two pages (host, path, lines, sizes) of no marked article are nearly the same."""
-    if a[0] != b[0] or a[3] is None or b[3] is None:
+    """Whether two pages (host, path, lines, sizes, roles) are nearly the same."""
+    if a[0] != b[0]:
         return False
     small, large = sorted((int(a[3].sum()), int(b[3].sum())))
     return small >= NEARLY * large and _held(a[2], a[3], b[2])[1] >= NEARLY * large
 
 
 def _page(r) -> tuple:
-    return r.host, r.path, np.asarray(r.lines, np.int64), None if r.sizes is None else np.asarray(r.sizes, np.int64)
+    return r.host, r.path, np.asarray(r.lines, np.int64), np.asarray(r.sizes, np.int64), np.asarray(r.roles, np.int64)
+
+
+def _gone(row: tuple, other: tuple, shared: list[bool]) -> list[bool]:
+    """The shared lines that are boilerplate by the roles that both pages tell."""
+    within = np.isin(row[2], other[2][other[4] == ARTICLE])
+    outside = np.isin(row[2], other[2][other[4] == PLAIN]) & (other[4] == ARTICLE).any()
+    return (np.array(shared, bool) & ~within & ((row[4] != ARTICLE) | outside)).tolist()
 
 
 def _decide(row: tuple, left: Iterator[tuple], right: Iterator[tuple]) -> list[bool]:
-    """The lines that the partner shares; left and right give pages outward from the row's run."""
+    """The lines that go by the partner; left and right give pages outward from the row's run."""
     sides, nearest = (left, right), [next(left, None), next(right, None)]
     total = int(row[3].sum())
     while True:
@@ -284,12 +290,12 @@ def _decide(row: tuple, left: Iterator[tuple], right: Iterator[tuple]) -> list[b
         k = -max(near)[1]
         shared, held = _held(row[2], row[3], nearest[k][2])
         if not total or held < NEARLY * total:
-            return shared
+            return _gone(row, nearest[k], shared)
         nearest[k] = next(sides[k], None)
 
 
-def _shared(ordered: DataFrame) -> DataFrame:
-    """key, shared (array<boolean> over lines) of each page without a marked article against its partner."""
+def _differences(ordered: DataFrame) -> DataFrame:
+    """key, gone (array<boolean> over lines) of each page that loses lines against its partner."""
     spark = ordered.sparkSession
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -306,9 +312,9 @@ def _shared(ordered: DataFrame) -> DataFrame:
             yield f.assign(part=np.int32(part), at=np.arange(at, at + len(f)), run=np.array(runs, np.int64))
             at += len(f)
 
-    placed = C.materialize(ordered.mapInPandas(number, "key long, host string, path string, lines array<long>, sizes array<int>, part int, at long, run long"))
+    placed = C.materialize(ordered.mapInPandas(number, "key long, host string, path string, lines array<long>, sizes array<int>, roles array<int>, part int, at long, run long"))
     # First and last pages of the outer two runs on either side of each part's borders: eight at most for each part.
-    ends = F.struct("host", "path", "lines", "sizes")
+    ends = F.struct("host", "path", "lines", "sizes", "roles")
     last = placed.groupBy("part").agg(F.max("run").alias("most"))
     outer = placed.join(F.broadcast(last), "part").where("run < 2 or run > most - 2")
     edge: dict[int, list[tuple]] = {}
@@ -334,12 +340,13 @@ def _shared(ordered: DataFrame) -> DataFrame:
             out = []
             for j, (a, b) in enumerate(zip(firsts, [*firsts[1:], len(rows)], strict=True)):
                 for key, _, page in rows[a:b]:
-                    if page[3] is not None:
-                        left = chain((rows[k - 1][2] for k in reversed(firsts[1 : j + 1])), beyond(part, -1))
-                        right = chain((rows[k][2] for k in firsts[j + 1 :]), beyond(part, 1))
-                        out.append((key, _decide(page, left, right)))
+                    left = chain((rows[k - 1][2] for k in reversed(firsts[1 : j + 1])), beyond(part, -1))
+                    right = chain((rows[k][2] for k in firsts[j + 1 :]), beyond(part, 1))
+                    gone = _decide(page, left, right)
+                    if any(g and role != NOISE for g, role in zip(gone, page[4], strict=True)):
+                        out.append((key, gone))
             if out:
-                yield pd.DataFrame(out, columns=["key", "shared"])
+                yield pd.DataFrame(out, columns=["key", "gone"])
 
         rows, at = [], None
         for f in frames:
@@ -352,7 +359,7 @@ def _shared(ordered: DataFrame) -> DataFrame:
         if rows:
             yield from close(rows, at[0])
 
-    return placed.repartition("part").sortWithinPartitions("part", "at").mapInPandas(align, "key long, shared array<boolean>")
+    return placed.repartition("part").sortWithinPartitions("part", "at").mapInPandas(align, "key long, gone array<boolean>")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -363,14 +370,12 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     keyed = rows.select(F.xxhash64("page_id", "url", "html").alias("key"), "html", "page_id", "url", path.alias("path"))
     parsed = C.materialize(keyed.mapInArrow(_parse, _PARSED))
     spread = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lined = parsed.select("key", F.lower(F.substring_index("path", "/", 1)).alias("host"), "path", "lines", "sizes", "page_id")
+    lined = parsed.select("key", F.lower(F.substring_index("path", "/", 1)).alias("host"), "path", "lines", "sizes", "roles", "page_id")
     ordered = lined.repartitionByRange(spread, "host", "path", "page_id", "key").sortWithinPartitions("host", "path", "page_id", "key").drop("page_id")
-    shared = _shared(ordered).groupBy("key").agg(F.min("shared").alias("shared"))
-    # Only pages without a marked article depend on what their partner shares.
-    open_ = parsed.where("text is null").select("key", "page_id", "url", "blocks").join(shared, "key", "left")
-    said = F.filter("blocks", lambda x, i: (x["role"] == PLAIN) & ~F.coalesce(F.get("shared", i), F.lit(False)))
-    open_ = open_.select("page_id", "url", F.array_join(F.transform(said, lambda x: x["text"]), " ").alias("text"))
-    return parsed.where("text is not null").select("page_id", "url", "text").unionByName(open_)
+    gone = C.materialize(_differences(ordered).groupBy("key").agg(F.min("gone").alias("gone")))  # of known size: few rows are broadcast
+    told = parsed.select("key", "page_id", "url", "texts").join(gone, "key", "left")
+    said = F.filter("texts", lambda x, i: x.isNotNull() & ~F.coalesce(F.get("gone", i), F.lit(False)))
+    return told.select("page_id", "url", F.array_join(said, " ").alias("text"))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -260,3 +260,15 @@ def test_chat_long_texts(spark):
     assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     record = spark.createDataFrame([('{"messages":[{"role":"human","content":"q"}]}',)], "r string")
     assert {r.fingerprint for r in done.select("fingerprint").collect()} == {chat.canonical(record, "r").first().fingerprint}
+
+
+def test_pages_marked_articles_are_differenced(spark):
+    """A line of a marked article goes where the partner has it in plain blocks outside of its own; other shared lines stay."""
+    long = "text " * 20
+    marked = "{3}<article><h1>{0}</h1><p>{0} {1}</p>{2}</article>"
+    rows = [marked.format("one", long, "<p>See our offers</p><p>both say</p>", ""), marked.format("two", long, "<p>both say</p>", "<div>See our offers</div>"), f"<div>Site</div><p>three {long}</p><p>both say</p>"]
+    rows += ["<nav><a>Contact</a></nav>" + marked.format("four", long, "", ""), marked.format("Contact", long, "", "")]
+    table = spark.createDataFrame([(i, f"http://{'a' if i < 3 else 'b'}.x/p/{i}", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.digest(pages.extract(table)).collect()}
+    body = long.strip()
+    assert got == {0: f"one one {body} both say", 1: f"two two {body} both say", 2: f"Site three {body} both say", 3: f"four four {body}", 4: f"Contact Contact {body}"}
