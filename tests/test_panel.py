@@ -490,3 +490,24 @@ def test_panel_evaluation_scores_rows_once(spark):
     told = panel_queries.panel_evaluation(spark, "/root/testdata/sf0.001")
     assert told.count() == 2
     assert not [f for f in told.inputFiles() if "/root/testdata" in f]
+
+
+def test_last_plan_of_predictions_is_small(spark):
+    """Scores, drivers and what is looked up are tables; the last plan goes back to the sources for the genomes only."""
+    from phenospark.plans import panel_queries
+
+    told = panel_queries.panel_fit_predict(spark, "/root/testdata/sf0.001")
+    assert {f.rsplit("/", 1)[-1] for f in told.inputFiles() if "/root/testdata" in f} == {"orders.parquet"}
+    assert told._jdf.queryExecution().analyzed().toString().count("Join") <= 8
+    assert told.count() == 3000
+
+
+def test_settle_gives_native_memory_back(spark, monkeypatch):
+    from phenospark.operators import lineage
+
+    asked = []
+    real = lineage.trim
+    monkeypatch.setattr(lineage, "trim", lambda s: asked.append(real(s)))
+    monkeypatch.setattr(lineage, "FULL", 0.0)
+    lineage.settle(spark)
+    assert asked == [True]
