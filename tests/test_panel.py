@@ -511,3 +511,12 @@ def test_settle_gives_native_memory_back(spark, monkeypatch):
     monkeypatch.setattr(lineage, "FULL", 0.0)
     lineage.settle(spark)
     assert asked == [True]
+
+
+def test_last_plan_of_metrics_is_small(spark):
+    """Groups of metrics are tables; the last plan only joins them."""
+    from phenospark.plans import panel_queries
+
+    told = panel_queries.metrics_table(spark, "/root/testdata/sf0.001")
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert told.count() == 3 and "Window" not in plan and "Aggregate" not in plan
